@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -42,8 +43,18 @@ def drop_staged(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def on_path(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, installed or not."""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, here])
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns, matched by exact name; others (clashing in case, or repeated) are ignored."""
+    on_path(df.sparkSession)
     safe = df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
     return safe.select([F.col(f"__c{df.columns.index(n)}").alias(n) for n in names])
 
@@ -54,6 +65,7 @@ def carried(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     An operator that hands documents on works on the safe names and ends with
     toDF(*df.columns), so extra columns of any name pass through unharmed.
     """
+    on_path(df.sparkSession)
     first = {df.columns.index(n): n for n in names}
     safe = [first.get(i, f"__c{i}") for i in range(len(df.columns))]
     return df.toDF(*safe), safe
