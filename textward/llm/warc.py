@@ -40,6 +40,8 @@ BREAKS = (
     "title|body|html|dl|dt|dd|figure|figcaption"
 )
 LINE = "\r\n"
+#: White space that is not a single space already.
+MANY_SPACES = "[ \t-\r]{2,}|[\t-\r]"
 
 
 def base32_sha1(text: Column) -> Column:
@@ -55,10 +57,9 @@ def record_id(*parts: Column) -> Column:
 
 
 def text_of(html: Column) -> Column:
-    x = F.regexp_replace(html, r"(?s)<!--.*?(-->|$)", "")
-    for tag in SILENT:
-        x = F.regexp_replace(x, rf"(?is)<{tag}(\s[^>]*)?>.*?(</{tag}\s*>|$)", "\n" if tag == "head" else "")
-    x = F.regexp_replace(x, "[ \t-\r]+", " ")
+    silent = rf"(?is)<!--.*?(?:-->|$)|<({'|'.join(SILENT)})(?:\s[^>]*)?>.*?(?:</\1\s*>|$)"
+    x = F.regexp_replace(html, silent, "")
+    x = F.regexp_replace(x, MANY_SPACES, " ")
     x = F.regexp_replace(x, rf"(?i)</?({BREAKS})(\s[^>]*)?/?>", "\n")
     x = F.regexp_replace(x, "<[^>]*>", "")
     for name, char in ENTITIES:
@@ -81,7 +82,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def _metadata(html: Column, http_headers: Column) -> Column:
-    title = F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1), "[ \t-\r]+", " ")
+    title = F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1), MANY_SPACES, " ")
     lang = F.regexp_extract(html, "(?i)<html[^>]*\\slang=\"([^\"]*)\"", 1)
     links = F.regexp_extract_all(html, F.lit("(?i)<a\\s[^>]*href=\"([^\"]*)\""), F.lit(1))
     outlinks = F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit(" L a/@href" + LINE))), "")
@@ -135,7 +136,7 @@ def warc_report(pages: DataFrame) -> DataFrame:
 def _sql() -> str:
     x = "regexp_replace(payload, '(?s)<!--.*?(-->|$)', '', 'g')"
     for tag in SILENT:
-        x = f"regexp_replace({x}, '(?is)<{tag}(\\s[^>]*)?>.*?(</{tag}\\s*>|$)', {'chr(10)' if tag == 'head' else repr('')}, 'g')"
+        x = f"regexp_replace({x}, '(?is)<{tag}(\\s[^>]*)?>.*?(</{tag}\\s*>|$)', '', 'g')"
     x = f"regexp_replace({x}, '[ \\t-\\r]+', ' ', 'g')"
     x = f"regexp_replace({x}, '(?i)</?({BREAKS})(\\s[^>]*)?/?>', chr(10), 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
