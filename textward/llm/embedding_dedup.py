@@ -37,8 +37,9 @@ from .components import components
 from .linking import spanning
 
 THRESHOLD, TARGET_RECALL = 0.95, 0.9999
-#: Vectors that the codebooks and the radius are fitted on, wanted members of a cell, most centroids of a half.
-SAMPLE, CELL_MEMBERS, MOST_CENTROIDS, CHUNK = 20_000, 256, 1024, 1024
+#: Vectors that the codebooks and the radius are fitted on (at least, and for each centroid), wanted members of a
+#: cell, most centroids of a half; rows of a task, and of a block of pairs within it.
+SAMPLE, PER_CENTROID, CELL_MEMBERS, MOST_CENTROIDS, CHUNK, BLOCK = 4096, 32, 512, 1024, 8192, 1024
 
 
 @dataclass
@@ -69,15 +70,20 @@ class MultiIndex:
         return near, low
 
 
-def unit(vectors: list, dim: int) -> np.ndarray:
-    """Rows of length one, padded with zeros to dim."""
+def unit(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Rows of length one from an array of lists, padded with zeros to dim."""
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
     x = np.zeros((len(vectors), dim))
-    for i, v in enumerate(vectors):
-        v = np.asarray(v, np.float64)
-        x[i, : len(v)] = v / np.abs(v).max()
+    x[np.arange(dim)[None, :] < sizes[:, None]] = values
+    x /= np.abs(x).max(axis=1)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def centroids(n: int) -> int:
+    return int(min(MOST_CENTROIDS, max(2, round((n / CELL_MEMBERS) ** 0.5))))
+
+
 def _codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     if not x.shape[1]:
         return np.zeros((1, 0))
@@ -95,7 +101,7 @@ def fit(x: np.ndarray, n: int, threshold: float, target_recall: float, seed: int
     """Codebooks and radius from sampled unit vectors x of n."""
     rng = np.random.default_rng(seed)
     dim = x.shape[1]
-    k = int(min(MOST_CENTROIDS, max(2, round((n / CELL_MEMBERS) ** 0.5))))
+    k = centroids(n)
     cut = (dim + 1) // 2
     halves = tuple(_codebook(part, k, rng) for part in (x[:, :cut], x[:, cut:]))
     between = tuple(np.sqrt(((c[:, None, :] - c[None]) ** 2).sum(axis=2)) for c in halves)
@@ -143,8 +149,7 @@ def _members(classes: DataFrame, shared, occupied=None) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, 1024):
                 b = batch.slice(s, 1024)
-                vectors = b.column(3).to_pylist()
-                (n1, n2), (l1, l2) = index.bounds(unit(vectors, index.dim))
+                (n1, n2), (l1, l2) = index.bounds(unit(b.column(3), index.dim))
                 most = index.radius**2
                 rows, cells = [], []
                 reach = ((l1 <= most).sum(axis=1) > 1) | ((l2 <= most).sum(axis=1) > 1)
@@ -176,7 +181,7 @@ def _compare(shared, threshold: float):
         own, cid, m, size, chunk = (t.column(n).to_numpy() for n in ("own", "cid", "m", "size", "chunk"))
         order = np.argsort(cid, kind="stable")
         own, cid, m, size, chunk = own[order], cid[order], m[order], size[order], chunk[order]
-        x = unit(t.column("embedding").take(pa.array(order)).to_pylist(), index.dim)
+        x = unit(t.column("embedding").combine_chunks().take(pa.array(order)), index.dim)
         (_, _), (l1, l2) = index.bounds(x)
         k2 = len(index.halves[1])
         counts, ea, eb = np.zeros(len(x), np.int64), [], []
@@ -186,23 +191,32 @@ def _compare(shared, threshold: float):
         def visits(rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
             return l1[rows][:, cells // k2] + l2[rows][:, cells % k2] <= index.radius**2
 
-        for i in range(0, len(left), CHUNK):
-            for j in range(0, len(right), CHUNK):
-                a, b = left[i : i + CHUNK], right[j : j + CHUNK]
-                near = (x[a] @ x[b].T >= threshold) & (size[a][:, None] == size[b][None, :])
-                home_a, home_b = (own[a] == cell)[:, None], (own[b] == cell)[None, :]
-                # A pair from two cells is counted where one visits the other: if both do, in the cell of larger number.
-                a_comes = ~home_a & home_b & (~visits(b, own[a]).T | (own[a] < cell)[:, None])
-                b_comes = home_a & ~home_b & (~visits(a, own[b]) | (own[b] < cell)[None, :])
-                near &= (home_a & home_b) | a_comes | b_comes
-                if ca == cb:
-                    near &= a[:, None] != b[None, :]
-                counts[a] += near.astype(np.int64) @ m[b]
-                if ca != cb:
-                    counts[b] += near.T.astype(np.int64) @ m[a]
-                p, q = spanning(cid[a], cid[b], near)
-                ea.append(p)
-                eb.append(q)
+        # Residents against all, and visitors against residents; visitors of one cell are not compared here.
+        home = own == cell
+        pairs = [(left[home[left]], right)]
+        if ca != cb:
+            pairs.append((left[~home[left]], right[home[right]]))
+        for some, others in pairs:
+            for i in range(0, len(some), BLOCK):
+                for j in range(0, len(others), BLOCK):
+                    a, b = some[i : i + BLOCK], others[j : j + BLOCK]
+                    near = (x[a] @ x[b].T >= threshold) & (size[a][:, None] == size[b][None, :])
+                    if not near.any():
+                        continue
+                    home_a, home_b = home[a][:, None], home[b][None, :]
+                    # A pair from two cells is counted where one visits the other: if both do, in the cell of larger number.
+                    a_comes = ~home_a & home_b & (~visits(b, own[a]).T | (own[a] < cell)[:, None])
+                    b_comes = home_a & ~home_b & (~visits(a, own[b]) | (own[b] < cell)[None, :])
+                    near &= (home_a & home_b) | a_comes | b_comes
+                    if ca == cb:
+                        near &= a[:, None] != b[None, :]
+                    counts[a] += near.astype(np.int64) @ m[b]
+                    # Within one chunk a pair of residents comes twice, once from either side.
+                    back = near & ~home_b if ca == cb else near
+                    counts[b] += back.T.astype(np.int64) @ m[a]
+                    p, q = spanning(cid[a], cid[b], near)
+                    ea.append(p)
+                    eb.append(q)
         some = counts > 0
         a = np.concatenate([cid[some], *ea])
         b = np.concatenate([cid[some], *eb])
@@ -230,9 +244,13 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, target_rec
     n, dim = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    wanted = min(1.0, SAMPLE / n)
+    most = max(SAMPLE, PER_CENTROID * centroids(n))
+    wanted = min(1.0, most / n)
     picked = classes.where(F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(1_000_000)) < F.lit(wanted * 1_000_000)).select("embedding")
-    sample = unit([r[0] for r in picked.limit(2 * SAMPLE).collect()] or [r[0] for r in classes.select("embedding").limit(100).collect()], dim)
+    listed = picked.limit(2 * most).toArrow() if wanted < 1 else classes.select("embedding").limit(most).toArrow()
+    if not listed.num_rows:
+        listed = classes.select("embedding").limit(100).toArrow()
+    sample = unit(listed.column(0).combine_chunks(), dim)
     index = fit(sample, n, threshold, target_recall)
     shared = spark.sparkContext.broadcast(index)  # two codebooks of at most MOST_CENTROIDS rows
     cells = _members(classes, shared).groupBy("cell").count().collect()  # at most MOST_CENTROIDS^2 numbers
