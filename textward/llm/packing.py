@@ -16,19 +16,21 @@ extra columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import need, stage
 
 VOCABULARY, END_ID, LENGTH, GROUP_PIECES = "word_bpe_49k.json", 2, 4096, 8192
 #: Words whose ids a worker remembers; beyond them it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: str.split cuts at these, the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _MARK = "|"
@@ -57,6 +59,7 @@ class WordTokenizer:
             path = public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what was known when `known` last grew full
         self.cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         mark = self.direct(_MARK)
@@ -68,11 +71,17 @@ class WordTokenizer:
     def letters(self, core: str) -> bytes:
         """Ids of a run of lower-case Latin letters."""
         shown = core if core.isascii() else "".join(map(_STAND_IN.__getitem__, core.encode()))
-        return b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown))
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)])
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
 
     def learn(self, words: list[str]) -> None:
         rest = []
         for w in words:
+            if (ids := self.before.get(w)) is not None:
+                self.known[w] = ids
+                continue
             m = _PLAIN.fullmatch(w)
             if m is None:
                 rest.append(w)
@@ -102,29 +111,26 @@ class WordTokenizer:
                 start = end + 4
 
     def forget(self) -> None:
-        for known in (self.known, self.cores, self.tails):
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        for known in (self.cores, self.tails):
             if len(known) > REMEMBERED:
                 known.clear()
 
-    def ids(self, text: str) -> bytes:
-        """One text; its new words are learned."""
-        if _ODD.search(text):
-            return self.direct(text)
-        words = text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            self.learn(list({w for w in words if w not in known}))
-            return b"".join(map(known.__getitem__, words))
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learn the new words of some texts together."""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Of each text."""
         self.forget()
-        new: set[str] = set()
+        known, get, out = self.known, self.known.__getitem__, []
         for t in texts:
-            new.update(t.split())
-        self.learn([w for w in new if w not in self.known])
+            if _ODD.search(t):
+                out.append(self.direct(t))
+                continue
+            words = t.split()
+            new = set(words).difference(known)
+            if new:
+                self.learn(list(new))
+            out.append(b"".join(map(get, words)))
+        return out
 
 
 _tokenizers: dict[str | None, WordTokenizer] = {}
@@ -142,10 +148,9 @@ def _pieces(docs: DataFrame, tokenizer_path: str | None, length: int, end_id: in
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                t.prepare(texts)
                 doc, start, size, crc, total, ids = [], [], [], [], [], []
-                for d, x in zip(part.column(0).to_pylist(), texts):
-                    raw = t.ids(x) + end
+                for d, raw in zip(part.column(0).to_pylist(), t.ids(texts)):
+                    raw += end
                     for at in range(0, len(raw), 4 * length):
                         piece = raw[at : at + 4 * length]
                         doc.append(d)
@@ -218,8 +223,6 @@ def pack(
     packed = part.groupBy("grp").applyInArrow(deal, schema)
     full = pieces.where(F.col("length") == length)
     # A whole sequence is named by its document and place: a rank within its hash slot.
-    from pyspark.sql import Window
-
     slot = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups * 8))
     rank = F.row_number().over(Window.partitionBy("slot").orderBy("doc_id", "start", "ids_crc32"))
     full = full.withColumn("slot", slot).withColumn("sequence_id", F.shiftleft(F.col("slot") + groups, 32) + rank).drop("slot")
