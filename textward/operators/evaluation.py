@@ -134,19 +134,24 @@ def char_noise(word: Column, *key: Column) -> Column:
     )
 
 
-def augment(text: Column, *key: Column) -> Column:
-    """A noisy copy: an inner word dropped in 30 % (of texts with over three words), two neighbours swapped in
-    30 %, noise in 30 % of the words."""
+def augment(rows: DataFrame, *key: Column) -> DataFrame:
+    """rows with noise in text: an inner word dropped in 30 % (of texts with over three words), two neighbours
+    swapped in 30 %, noise in 30 % of the words. The key's columns decide what takes the place of chance.
+
+    The steps are columns of their own, so that no array is made again for each of its words.
+    """
     u = lambda *k: unit(*key, *[F.lit(x) if isinstance(x, str) else x for x in k])
-    words = F.split(text, " ")
-    n = F.size(words)
-    drop = F.when((n > 3) & (u("drop") < 0.3), F.floor(u("drop at") * (n - 2)) + 1).otherwise(F.lit(-1))
-    left = F.filter(words, lambda w, i: i != drop)
-    m = n - F.when(drop >= 0, 1).otherwise(0)
-    swap = F.when((m > 1) & (u("swap") < 0.3), F.floor(u("swap at") * (m - 1))).otherwise(F.lit(-5)).cast("int")
-    moved = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.get(left, F.when(i == swap, i + 1).when(i == swap + 1, i - 1).otherwise(i)))
-    noisy = F.transform(moved, lambda w, i: F.when(u("noise", i) < 0.3, char_noise(w, *key, i)).otherwise(w))
-    return F.array_join(noisy, " ")
+    n, m, swap = F.size("_words"), F.size("_left"), F.col("_swap")
+    out = rows.withColumn("_words", F.split("text", " "))
+    out = out.withColumn("_drop", F.when((n > 3) & (u("drop") < 0.3), F.floor(u("drop at") * (n - 2)) + 1).otherwise(F.lit(-1)))
+    out = out.withColumn("_left", F.filter("_words", lambda w, i: i != F.col("_drop")))
+    out = out.withColumn("_swap", F.when((m > 1) & (u("swap") < 0.3), F.floor(u("swap at") * (m - 1))).otherwise(F.lit(-5)).cast("int"))
+    out = out.withColumn(
+        "_moved",
+        F.transform("_left", lambda w, i: F.when(i == swap, F.get("_left", i + 1)).when(i == swap + 1, F.get("_left", i - 1)).otherwise(w)),
+    )
+    noisy = F.transform("_moved", lambda w, i: F.when(u("noise", i) < 0.3, char_noise(w, *key, i)).otherwise(w))
+    return out.withColumn("text", F.array_join(noisy, " ")).drop("_words", "_drop", "_left", "_swap", "_moved")
 
 
 def rare_rows(rows: DataFrame, row_id: str, label: str, target: int = C.AUGMENT_TARGET) -> DataFrame:
@@ -159,5 +164,4 @@ def rare_rows(rows: DataFrame, row_id: str, label: str, target: int = C.AUGMENT_
     # Fewer than `target` rows are numbered.
     few = positives.join(F.broadcast(have.select(F.lit(1).alias("_few")))).drop("_few")
     numbered = few.withColumn("place", F.row_number().over(Window.orderBy(row_id)))
-    out = draws.join(numbered, "place").drop("place", "have")
-    return out.withColumn("text", augment(F.col("text"), F.lit(label), F.col("draw")))
+    return augment(draws.join(numbered, "place").drop("place", "have"), F.lit(label), F.col("draw"))

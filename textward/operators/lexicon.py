@@ -142,7 +142,7 @@ def kept_roots(roots: DataFrame, claimed: DataFrame) -> list[int]:
 
 def build(roots: DataFrame, manual: DataFrame, whitelist: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(base words, variations) with the columns of the store's tables."""
-    claimed = claims(roots, counts, whitelist)
+    claimed = claims(roots, counts, whitelist).persist()  # read twice; the curated list bounds it
     stay = kept_roots(roots, claimed)
     r = keyed(roots).where(F.col("Id").isin(stay) if stay else F.lit(False))
     words = r.select("Id", "Word", F.col("root_key").alias("NormalizedWord"), "Category", "Severity")

@@ -162,10 +162,10 @@ _queue = f"""q AS (SELECT split, doc_id, words, max_severity, categories, toxic,
   FROM sd JOIN sm USING (doc_id) WHERE coalesce(toxic, 0) <> 1)"""
 _obf = f"""ob1 AS (SELECT doc_id, toxic, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM corpus),
 ob2 AS (SELECT *, {UNIT('doc_id', 'i', str(C.SPLIT_SEED))} AS roll, length(w) AS n,
-  (floor({UNIT('doc_id', 'i', "'at'", str(C.SPLIT_SEED))} * (length(w) - 1)) + 1)::BIGINT AS at FROM ob1),
+  (floor({UNIT('doc_id', 'i', "'at'", str(C.SPLIT_SEED))} * (length(w) - 1)) + 1)::BIGINT AS cut FROM ob1),
 ob3 AS (SELECT doc_id, i, translate(CASE WHEN roll < 0.30 THEN translate(w, 'aeiosAEIOS', '4310543105')
-  WHEN roll < 0.50 AND n > 3 THEN substr(w, 1, at) || '.' || substr(w, at + 1)
-  WHEN roll >= 0.50 AND roll < 0.65 AND n > 3 THEN substr(w, 1, at) || substr(w, at + 1, 1) || substr(w, at + 1) ELSE w END, 'şŞ', 'wW') AS w FROM ob2),
+  WHEN roll < 0.50 AND n > 3 THEN substr(w, 1, cut) || '.' || substr(w, cut + 1)
+  WHEN roll >= 0.50 AND roll < 0.65 AND n > 3 THEN substr(w, 1, cut) || substr(w, cut + 1, 1) || substr(w, cut + 1) ELSE w END, 'şŞ', 'wW') AS w FROM ob2),
 obf AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM ob3 GROUP BY doc_id)"""
 _bench_q = f"""qw AS (SELECT DISTINCT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[{SPACES}]+')) AS w FROM conversations WHERE role = 'user'),
 cw AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[{SPACES}]+')) AS w FROM benchmark),

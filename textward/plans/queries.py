@@ -51,7 +51,7 @@ def _store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     counts = mining.key_counts(corpus(spark, sf_dir)).persist()
     white = fixtures.whitelist(spark)
     words, variations = lexicon.build(fixtures.roots(spark), fixtures.manual(spark), white, counts)
-    return words, variations, white
+    return words.persist(), variations.persist(), white
 
 
 def of_store(f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
