@@ -1,0 +1,451 @@
+"""Each operator against brute force on small tables, and its defined cases."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from textward.llm import chat_format, embedding_dedup, language_id, mixing, packing, quality_rules, secret_scan, sharding, simhash_dedup, warc
+from textward.llm.components import components
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+
+
+def docs(spark, texts, lang="en", source="s", ids=None):
+    rows = [(ids[i] if ids else i, t, lang, source, None if t is None else len(t)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOC)
+
+
+def clashing(df):
+    """The same rows with extra columns whose names differ in case only, or are names that operators use inside."""
+    return df.withColumns({"TEXT2": F.lit("x"), "n_words": F.lit(1), "kept": F.lit(None).cast("string"), "probability": F.lit("p"), "fp": F.lit(0)}).toDF(
+        *df.columns, "Text", "n_words", "kept", "probability", "fp"
+    )
+
+
+LONG = " ".join(f"word{i % 977} of text." for i in range(60_000))
+ODD = [None, "", " \n\t ", "one", "a b c d e f g h i j k.", "a b c d e f g h i j k.", LONG, "ä" * 10, "12 34", "\x0b\x0c\r"]
+
+
+# --- components ---------------------------------------------------------------------
+def smallest(n, pairs):
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["path", "star", "random", "none"])
+def test_components(spark, kind):
+    rng = np.random.default_rng(1)
+    pairs = {
+        "path": [(i, i + 1) for i in range(60)], "star": [(0, i) for i in range(1, 50)] + [(5, 5)],
+        "random": [tuple(map(int, rng.integers(0, 200, 2))) for _ in range(120)] * 2, "none": [],
+    }[kind]
+    df = spark.createDataFrame(pairs + [(None, 3)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components(df).collect()}
+    want = smallest(200, pairs)
+    assert got == {x: want[x] for p in pairs if p[0] != p[1] for x in p}
+
+
+# --- 1 quality rules -----------------------------------------------------------------
+def base_counts(text):
+    t = text or ""
+    w = WORD.findall(t)
+    windows = {}
+    for i in range(len(w) - 4):
+        windows.setdefault(tuple(w[i : i + 5]), []).append(i)
+    covered = {i + k for places in windows.values() if len(places) > 1 for i in places for k in range(5)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+
+
+def test_quality_counts(spark):
+    texts = ODD + ["x y z x y z x y z x y z x y", "a|b #c\na|b #c\n\n", "p q r s t u p q r s t v\nEnd."]
+    got = {r["doc_id"]: r for r in quality_rules.quality_report(clashing(docs(spark, texts))).collect()}
+    for i, t in enumerate(texts):
+        r, b = got[i], base_counts(t)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == b, t
+        assert r["base_failed"] == (b[0] < 10 or 100 * b[4] > 20 * b[0])
+    assert quality_rules.quality_report(docs(spark, [])).count() == 0
+
+
+def test_quality_lines(spark):
+    good = "This is a line of prose that ends well."
+    junk = "Home | About | Contact"
+    other = "It has other words than the one before it."
+    texts = [f"{good}\n{junk}\n\n{other}", f"{good}\n{junk * 20}", "\n".join([good, other, "All rights reserved."])]
+    kept = quality_rules.clean_documents(docs(spark, texts)).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {0: f"{good}\n\n{other}", 2: f"{good}\n{other}"}
+
+
+# --- 2 secrets -------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train(secret_scan.made_findings(spark))
+
+
+def test_forest_on_held_out_findings(spark):
+    made = secret_scan.made_findings(spark, 8000).withColumn("n", F.monotonically_increasing_id()).cache()
+    printed = secret_scan.train(made.where("n < 6000"))
+    held = made.where("n >= 6000")
+    names = [f.alias(f"f{i}") for i, f in enumerate(secret_scan.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path")))]
+    right = held.select("label", *names).select(((secret_scan.vote(printed, lambda i: F.col(f"f{i}")) >= 0.5).cast("int") == F.col("label")).alias("ok"))
+    assert right.where("ok").count() / held.count() > 0.97
+
+
+def test_secret_spans_and_redaction(spark):
+    key = hashlib.sha1(b"k").hexdigest()
+    texts = [f'é token = "{key}" and {key} x', f"commit {key}.", 'api_key: "' + "Ab3" * 12 + '"', None, "", f'token = "{key}"token = "{key}"', "1234567890123456 only", LONG]
+    df = clashing(docs(spark, texts))
+    found = secret_scan.scan(df).collect()
+    pattern = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*[0-9])[A-Za-z0-9+/=_-]{16,}")
+    want = {(i, j): (m.start(), len(m[0]), hashlib.sha256(m[0].encode()).hexdigest()) for i, t in enumerate(texts) for j, m in enumerate(pattern.finditer(t or ""))}
+    assert {(r["doc_id"], r["ordinal"]): (r["start"], r["length"], r["candidate_sha256"]) for r in found} == want
+    secret = {(r["doc_id"], r["ordinal"]) for r in found if r["is_secret"]}
+    assert secret == {(0, 0), (2, 0), (5, 0), (5, 1)}
+    out = secret_scan.redact(df)
+    assert out.columns == df.columns
+    got = {r[0]: r[1] for r in out.collect()}
+    assert got[0] == f'é token = "[SECRET]" and {key} x' and got[1] == texts[1] and got[3] is None and got[5] == 'token = "[SECRET]"token = "[SECRET]"' and got[7] == LONG
+    assert secret_scan.scan(docs(spark, [])).count() == 0
+
+
+# --- 3 WARC ----------------------------------------------------------------------------
+def test_warc(spark):
+    import base64
+
+    html = '<HTML lang="en"><head><title>A &amp; B</title><script>x("</p>")</script></head><body><!-- no --><p>One<br>two &lt;3 &amp;lt;</p><a href="/x">l</a> <DIV>three</DIV></body>'
+    pages = spark.createDataFrame([(1, "http://e/1", html), (2, None, None), (2, None, None), (3, "u", "plain <b>text")], "page_id long, url string, html string")
+    rows = warc.derive(warc.responses(pages)).collect()
+    assert len(rows) == 12
+    by = {(r["page_id"], r["warc_type"]): r for r in rows}
+    for r in rows:
+        assert r["block_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(r["block"].encode()).digest()).decode()
+        assert r["content_length"] == len(r["block"].encode())
+        assert r["refers_to"] == (None if r["warc_type"] == "response" else by[r["page_id"], "response"]["record_id"])
+    assert by[1, "conversion"]["block"] == "One\ntwo <3 &lt;\nl\nthree" and by[2, "conversion"]["block"] == "" and by[3, "conversion"]["block"] == "plain text"
+    meta = by[1, "metadata"]["block"]
+    assert "title: A &amp; B\r\n" in meta and "outlink: /x L a/@href\r\n" in meta and "source-header: Content-Type: text/html; charset=utf-8\r\n" in meta
+    record = {(r["page_id"], r["warc_type"]): r["record"] for r in warc.written(warc.derive(warc.responses(pages))).collect()}[1, "conversion"]
+    head, body = record.split("\r\n\r\n", 1)
+    assert head.startswith("WARC/1.1\r\nWARC-Type: conversion") and "WARC-Refers-To: <urn:uuid:" in head and body == by[1, "conversion"]["block"] + "\r\n\r\n"
+    assert warc.warc_report(pages.where("false")).count() == 0
+
+
+# --- 4 embeddings ------------------------------------------------------------------------
+def vectors(rng, n=700, dim=16):
+    base = rng.normal(size=(n, dim))
+    near = base[:60] + rng.normal(size=(60, dim)) * 0.07
+    group = base[100] + rng.normal(size=(300, dim)) * 0.04
+    return [list(map(float, v)) for v in (*base, *near, *group, base[3], base[3] * 2)]
+
+
+@pytest.mark.parametrize("target", [1.0, 0.9999])
+def test_embedding_links(spark, target, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 128)
+    monkeypatch.setattr(embedding_dedup, "CELL_MEMBERS", 40)
+    vs = vectors(np.random.default_rng(5))
+    bad = [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0] * 3, [2.0] * 3]
+    rows = [(10 + i, v, 0) for i, v in enumerate(vs + bad)]
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), target_recall=target).collect()}
+    x = np.array(vs)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = (x @ x.T) >= 0.95
+    np.fill_diagonal(linked, False)
+    comp = smallest(len(vs), zip(*np.nonzero(linked)))
+    wrong = sum(got[10 + i]["n_links"] != linked[i].sum() or got[10 + i]["component_id"] != 10 + comp[i] for i in range(len(vs)))
+    found = sum(got[10 + i]["n_links"] for i in range(len(vs)))
+    assert found >= 0.99 * linked.sum() and (wrong == 0 if target == 1.0 else wrong <= 5)
+    first = 10 + len(vs)
+    assert [got[first + i]["n_links"] for i in range(8)] == [0] * 6 + [1, 1] and got[first + 7]["component_id"] == first + 6
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
+
+
+def test_embeddings_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>, Vec_Id string"
+    run = lambda rows: sorted((r[0] is None, r[0] or 0, r[1], r[2], r[3]) for r in embedding_dedup.embedding_links(spark.createDataFrame(rows, schema)).collect())
+    assert run([]) == [] and run([(1, None, "x")]) == [(False, 1, 0, 1, True)]
+    assert run([(4, [1.0, 2.0], "x"), (4, [1.0, 2.0], "x"), (None, [2.0, 4.0], "x"), (9, [-1.0, 2.0], "x")]) == [
+        (False, 4, 2, 4, True), (False, 4, 2, 4, True), (False, 9, 0, 9, True), (True, 0, 2, 4, False),
+    ]
+
+
+def test_multi_sequence_order():
+    rng = np.random.default_rng(0)
+    a, b = rng.random(9), rng.random(7)
+    got = embedding_dedup.visited(a, b, 0.9)
+    want = sorted((a[i] + b[j], i, j) for i in range(9) for j in range(7) if a[i] + b[j] <= 0.9)
+    assert [g for g in got] == [(i, j) for _, i, j in want]
+
+
+# --- 5 sharding ---------------------------------------------------------------------------
+def test_sharding(spark):
+    texts = [("x" * (37 * i % 900)) for i in range(3000)] + [None, ""]
+    df = docs(spark, texts, ids=[*range(3000), 3000, None])
+    rows = sharding.shard_documents(clashing(df)).collect()
+    assert len(rows) == 3002
+    loads = np.zeros(16)
+    for r in rows:
+        t = (texts[r["doc_id"]] if r["doc_id"] is not None else "") or ""
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(t.encode()) + 1, zlib.crc32(t.encode()), "bytes", None)
+        loads[r["shard"]] += r["size"]
+    assert loads.max() < 1.01 * loads.mean()
+    for k in range(16):
+        assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
+    assert {r["virtual_slot"]: r["shard"] for r in rows} == {v: s for v, s in {(r["virtual_slot"], r["shard"]) for r in rows}}
+    twice = sharding.shard_documents(df.union(df)).collect()
+    assert len(twice) == 6004 and len({(r["shard"], r["slot"]) for r in twice}) == 6004
+    assert sharding.shard_documents(docs(spark, [])).count() == 0
+
+
+def test_rebalance(spark):
+    size = {s: (s * 7919) % 1000 for s in range(512)}
+    first = sharding.deal(size, 8, 512)
+    grown = sharding.rebalance(first, size, 9)
+    moved = [(a, b) for a, b in zip(first, grown) if a != b]
+    loads = np.bincount(grown, [size[s] for s in range(512)])
+    assert len(moved) < 512 // 4 and sum(b == 8 for _, b in moved) > 0.8 * len(moved) and loads.max() < 1.03 * loads.mean()
+    shrunk = sharding.rebalance(grown, size, 7)
+    loads = np.bincount(shrunk, [size[s] for s in range(512)])
+    assert max(shrunk) == 6 and loads.max() < 1.02 * loads.mean()
+    table = sharding.slot_map(spark, [first, grown])
+    assert table.groupBy("version").count().orderBy("version").collect()[1][1] == 512
+
+
+# --- 6 SimHash -----------------------------------------------------------------------------
+def slow_print(text):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints():
+    for t in ODD[:6] + ODD[7:] + ["A É b c D", "a b c", LONG[:3000]]:
+        assert simhash_dedup.fingerprint(None if t is None else t.encode()) == slow_print(t), t
+
+
+@pytest.mark.parametrize("chunk", [16, 2048])
+def test_simhash_links(spark, chunk, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    base = [int(x) for x in rng.integers(0, 2**63, 150)]
+    hot = [base[0] ^ sum(1 << int(b) for b in set(rng.integers(20, 64, rng.integers(1, 6)))) for _ in range(120)]
+    prints = sorted({x - (1 << 64) if x >> 63 else x for x in base + hot + [b ^ 3 for b in base[:20]] + [b ^ (7 << 61) for b in base[:20]] + [b ^ 0x1010101010 for b in base[:20]] + [0]})
+    found = simhash_dedup.links(spark.createDataFrame([(x,) for x in prints], "fp long")).collect()
+    u = np.array(prints).view(np.uint64)
+    near = np.bitwise_count(u[:, None] ^ u[None, :]) <= 4
+    at = {x: i for i, x in enumerate(prints)}
+    assert all(near[at[r["a"]], at[r["b"]]] or chunk for r in found)
+    want = smallest(len(prints), [(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1)))])
+    assert smallest(len(prints), [(at[r["a"]], at[r["b"]]) for r in found]) == want
+
+
+def test_thresholds_satisfy_the_pigeonhole_principle():
+    rng = np.random.default_rng(0)
+    bits = rng.integers(0, 2, (500, 64)).astype(float)
+    for n in (100, 10**6, 10**10):
+        p = simhash_dedup.plan(n, bits.T @ bits * n / 500)
+        assert sum(t + 1 for _, t in p) == 5 and len({b for g, _ in p for b in g}) == sum(len(g) for g, _ in p)
+
+
+def test_simhash_documents(spark):
+    texts = ["the same words in this text are here", "The SAME words in this text are here", "quite another text is this one here", None, "", LONG, LONG, "x"]
+    df = docs(spark, texts, ids=[5, 4, 3, 9, 8, 2, None, 1])
+    got = {(r["doc_id"]): (r["fingerprint"], r["component_id"]) for r in simhash_dedup.simhash_report(clashing(df)).collect()}
+    assert got[5] == got[4] and got[5][1] == 4 and got[9] == ("0" * 16, 8) and got[8][1] == 8 and got[None][1] == 2 and got[1] == (f"{slow_print('x'):016x}", 1)
+    kept = simhash_dedup.one_of_each(clashing(df).union(clashing(df)))
+    assert kept.columns == clashing(df).columns
+    assert sorted((r[0] is None, r[0] or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 8), (True, 0), (True, 0)]
+    assert simhash_dedup.simhash_report(docs(spark, [])).count() == 0
+
+
+# --- 7 chat ---------------------------------------------------------------------------------
+def test_chat_round_trip(spark):
+    texts = ["</s>[INST] ok [/INST]", "a\\<|im_end|>\\\\", "", None, "<|im_start|>x<|im_sep|>", "\\", "<<SYS>>\n<", "<|im_end", "é<|im_end|>"]
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)]
+    rows += [(2, 0, "assistant", "hi"), (3, 1, None, "q"), (3, 1, None, "q"), (None, 0, "assistant", "x"), (None, 0, "assistant", "x"), (4, None, "ass<|im_sep|>", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("Role2", F.lit(1)).toDF("conv_id", "turn", "role", "text", "Role")
+    got = {}
+    for r in chat_format.chat_report(df).collect():
+        got.setdefault(r["conv_id"], []).append(r)
+    turns = {}
+    for c, t, role, text in rows + [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]:
+        turns.setdefault(c, []).append((role or "", text or ""))
+    assert len(got.pop(None)) == 2 and turns.pop(None)
+    for c, ts in turns.items():
+        (r,) = got[c]
+        loss = "".join(t for role, t in ts if role == "assistant")
+        assert r["n_turns"] == len(ts) and r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in ts).encode()).hexdigest()
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest()) and r["formatted_chars"] >= sum(len(b) for _, b in ts)
+    examples = chat_format.expand(df).where("conv_id = 1").orderBy("example").collect()
+    assert len(examples) == 5 and [e["is_whole"] for e in examples] == [False] * 4 + [True] and examples[4]["loss_length"] == 0
+    assert chat_format.expand(df.where("false")).count() == 0
+
+
+# --- 8 packing --------------------------------------------------------------------------------
+def test_first_fit_decreasing():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 101, 400)
+    bins, offsets = packing.first_fit_decreasing(sizes, 100)
+    room, want = [], {}
+    for i in np.argsort(-sizes, kind="stable"):
+        b = next((k for k, r in enumerate(room) if r >= sizes[i]), len(room))
+        if b == len(room):
+            room.append(100)
+        want[i] = (b, 100 - room[b])
+        room[b] -= sizes[i]
+    assert {i: (bins[i], offsets[i]) for i in range(400)} == want
+    assert len(packing.first_fit_decreasing(np.array([], int), 100)[0]) == 0
+
+
+def test_packing(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ODD + ["a | b||c |", "x<|endoftext|>y", "İstanbul don't I'LL ½²3 \x1cz\x1d", "Straße, ÉTÉ!! É \u0085x", "ǅx ŉa"] + [f"Some text {i} here. " * (i % 40) for i in range(120)]
+    df = docs(spark, texts, ids=[None, *range(1, len(texts))])
+    rows = packing.pack(clashing(df), length=256, group_pieces=50, with_ids=True).collect()
+    at, sequences = {}, {}
+    for r in rows:
+        at.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) and len(r["ids"]) == r["length"] <= 256
+    for i, t in enumerate(texts):
+        want = tok.encode(t or "", add_special_tokens=False).ids + [2]
+        own = sorted(at[i or None], key=lambda r: r["start"])
+        assert [x for r in own for x in r["ids"]] == want and {r["doc_tokens"] for r in own} == {len(want)}
+        assert [r["start"] for r in own] == [sum(o["length"] for o in own[:k]) for k in range(len(own))]
+    for s in sequences.values():
+        end = 0
+        for offset, n in sorted(s):
+            assert offset == end
+            end += n
+        assert end <= 256
+    total = sum(r["length"] for r in rows)
+    assert total / (256 * len(sequences)) > 0.9
+    assert packing.pack(docs(spark, [])).count() == 0
+
+
+# --- 9 language -------------------------------------------------------------------------------
+def samples():
+    return {"en": [b"the cat sat on the mat and the dog ran", b"this is the other text"], "de": ["über die Straße ging der Mann und".encode(), b"das ist der andere Text"]}
+
+
+def test_code_lengths_against_plain_trees():
+    model = language_id.train(samples())
+    counts = {}
+    for k, texts in samples().items():
+        for t in texts:
+            s = [0] * 3 + [int(model.symbol[b]) for b in t]
+            for i in range(3, len(s)):
+                for o in range(4):
+                    counts.setdefault((k, tuple(s[i - o : i])), {}).setdefault(s[i], 0)
+                    counts[k, tuple(s[i - o : i])][s[i]] += 1
+    visits = {}
+    for (k, c), n in counts.items():
+        visits[c] = visits.get(c, 0) + sum(n.values())
+
+    def bits(k, context, x):
+        longest = next(o for o in range(3, -1, -1) if o == 0 or visits.get(context[3 - o :], 0) >= language_id.LEAST_VISITS)
+        escaped, seen = 0.0, set()
+        for o in range(longest, -1, -1):
+            n = {s: c for s, c in counts.get((k, context[3 - o :]), {}).items() if s not in seen}
+            if not n:
+                continue
+            total = sum(n.values()) + len(n)
+            if x in n:
+                return escaped - np.log2(n[x] / total)
+            escaped -= np.log2(len(n) / total)
+            seen |= set(n)
+        other = np.log2(256 - (model.n_symbols - 2)) if x == 1 else 0
+        return escaped + np.log2(model.n_symbols - len(seen)) + other
+
+    for text in ("the man", "Straße über", "zzz €", "t", "the " * 9):
+        s = [0] * 3 + [int(model.symbol[b]) for b in text.encode()]
+        want = [sum(bits(k, tuple(s[i - 3 : i]), s[i]) for i in range(3, len(s))) for k in model.languages]
+        assert np.allclose(language_id.code_lengths(model, [text.encode()])[0], want, rtol=1e-5)
+
+
+def test_long_texts_are_scored_whole(monkeypatch):
+    model = language_id.train(samples())
+    texts = [b"the cat " * 400, b"x", b"und der Mann " * 300, b"the"]
+    whole = language_id.code_lengths(model, texts)
+    monkeypatch.setattr(language_id, "SLICE", 97)
+    assert np.allclose(whole, language_id.code_lengths(model, texts))
+
+
+def test_language_of_documents(spark):
+    import pathlib
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not pathlib.Path(path).exists():
+        pytest.skip("no test data")
+    df = spark.read.parquet(path)
+    got = language_id.predict(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert got.where("lang_pred = lang").count() >= 0.98 * got.count() > 0
+
+
+def test_language_odd_rows(spark):
+    texts = ["the cat sat on the mat with the dog", "12 34 !!", None, "", "the dog and the cat sat there"] * 8
+    df = docs(spark, texts, ids=[*range(39), None])
+    got = language_id.predict(clashing(df)).collect()
+    assert len(got) == 40
+    for r in got:
+        if r["doc_id"] is not None:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+            assert (r["lang_pred"], r["score"] > 0.4) == (("en", True) if "the" in (texts[r["doc_id"]] or "") else ("und", False))
+    kept = language_id.keep_known(clashing(df))
+    assert kept.columns == clashing(df).columns and kept.count() == 16
+    assert language_id.predict(docs(spark, [])).count() == 0
+    assert {r["lang_pred"] for r in language_id.predict(docs(spark, ["abc"], lang=None)).collect()} == {"und"}
+
+
+# --- 10 mixing --------------------------------------------------------------------------------
+def test_raking_meets_all_marginals(spark):
+    rng = np.random.default_rng(4)
+    cells = [(f"s{i}", f"l{j}", f"t{k}", int(rng.integers(1, 5000))) for i in range(5) for j in range(3) for k in range(2)]
+    df = spark.createDataFrame([*cells, ("s0", "l9", "t0", 0)], "source string, lang string, topic string, tokens long")
+    targets = {"source": {f"s{i}": 0.2 for i in range(5)}, "lang": {"l0": 0.5, "l1": 0.3, "l2": 0.2}}
+    rows = mixing.rake(df, targets).collect()
+    total = sum(c[3] for c in cells)
+    for d, want in targets.items():
+        for v, share in want.items():
+            assert abs(sum(r["tokens"] * r["ratio"] for r in rows if r[d] == v) / total - share) < 1e-6
+    t0 = sum(r["tokens"] * r["ratio"] for r in rows if r["topic"] == "t0") / total
+    assert abs(t0 - sum(c[3] for c in cells if c[2] == "t0") / total) < 1e-6
+    x = np.array([[[cells[i * 6 + j * 2 + k][3] / total for k in range(2)] for j in range(3)] for i in range(5)])
+    own = x.sum((0, 1))
+    for _ in range(300):
+        x *= (0.2 / x.sum((1, 2)))[:, None, None]
+        x *= (np.array([0.5, 0.3, 0.2]) / x.sum((0, 2)))[None, :, None]
+        x *= (own / x.sum((0, 1)))[None, None, :]
+    got = {(r["source"], r["lang"], r["topic"]): r["tokens"] * r["ratio"] / total for r in rows}
+    assert all(abs(got[f"s{i}", f"l{j}", f"t{k}"] - x[i, j, k]) < 1e-6 for i in range(5) for j in range(3) for k in range(2))
+
+
+def test_sampling(spark):
+    rows = [(i, "word " * (20 + i % 50), "en" if i % 3 else "fr", "hot" if i % 2 else f"s{i % 7}", None) for i in range(4000)] + [(None, None, None, None, None), (1, "", "en", "hot", 0)]
+    df = spark.createDataFrame(rows, DOC)
+    got = mixing.mix_report(clashing(df)).collect()
+    assert len(got) == 4002 and max(r["probability"] for r in got) == 1.0
+    for source in ("hot", "s0"):
+        own = [r for r in got if r["source"] == source and r["lang"] == "fr" and r["topic"] == "notes"]
+        assert abs(sum(r["kept"] for r in own) / len(own) - own[0]["probability"]) < 0.12
+    kept = mixing.sample(clashing(df))
+    assert kept.columns == clashing(df).columns and kept.count() == sum(r["kept"] for r in got)
+    assert mixing.mix_report(docs(spark, [])).count() == 0 and mixing.mix_report(docs(spark, [None, ""])).count() == 2
