@@ -271,6 +271,8 @@ def test_simhash_documents(spark):
     assert kept.columns == clashing(df).columns
     assert sorted((r[0] is None, r[0] or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 8), (True, 0), (True, 0)]
     assert simhash_dedup.simhash_report(docs(spark, [])).count() == 0
+    two = docs(spark, ["the same words in this text", "quite another text is this", "The same words in this TEXT"], ids=[5, 5, 5])
+    assert len({r["text"].lower() for r in simhash_dedup.one_of_each(two).collect()}) == simhash_dedup.one_of_each(two).count() == 2
 
 
 # --- 7 chat ---------------------------------------------------------------------------------

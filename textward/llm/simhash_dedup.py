@@ -61,13 +61,14 @@ def fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(2)), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row of docs as a signed long."""
-    return need(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, text_hash, fp): the fingerprint of each row of docs as a signed long."""
+    rows = need(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def _bit_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,14 +246,16 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) of each row of docs."""
+    """(doc_id, text_hash, fp, component, component_id) of each row of docs; component names the group, also one
+    without an id."""
     prints = stage(fingerprints(docs), "fingerprints")
     fps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     joined = components(links(fps, max_bits))
     of = fps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     of = stage(of, "fingerprint-components")
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(of.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = of.join(ids, "component").select("fp", "component", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def simhash_report(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -263,10 +266,14 @@ def simhash_report(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Of rows that repeat that doc_id one stays. Rows with a null doc_id, which
-    cannot be told apart, all stay.
+    Of rows of a component that repeat that doc_id one stays; rows of other components do not suffer from it.
+    Rows with a null doc_id, which cannot be told apart, all stay.
     """
-    stay = simhash_components(docs, max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    safe, _ = carried(docs, "doc_id")
-    kept = safe.join(stay, "doc_id").dropDuplicates(["doc_id"]).select(*safe.columns)
+    stay = simhash_components(docs, max_bits).where("doc_id = component_id")
+    stay = stay.select("doc_id", F.col("text_hash").alias("__hash"), F.col("component").alias("__component")).distinct()
+    safe, names = carried(docs, "doc_id", "text")
+    # The hash is compared beside the join on doc_id, so that what follows needs no other partitioning.
+    same = F.xxhash64(safe["text"]).bitwiseXOR(stay["__hash"]) == 0
+    kept = safe.join(stay, (safe["doc_id"] == stay["doc_id"]) & same).select(*[safe[n] for n in names], "__component")
+    kept = kept.dropDuplicates(["doc_id", "__component"]).select(*names)
     return kept.union(safe.where("doc_id is null")).toDF(*docs.columns)
