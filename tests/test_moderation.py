@@ -182,6 +182,18 @@ def test_store(spark, built, tmp_path):
     assert spark.sql("SELECT MatchType FROM LexiconLookup WHERE NormalizedForm = 'loser'").first()[0] == "base" and plan.groupBy("NormalizedForm").count().where("count > 1").count() == 0
 
 
+def test_built_files_load_again(spark, built, tmp_path):
+    words, variations, white, *_ = built
+    for name, df in (("bad_words", words), ("word_variations", variations), ("whitelist", white)):
+        sinks.write_csv(df, str(tmp_path / f"{name}.csv"), df.columns)
+    lookup, again = tables.load_lexicon(spark, str(tmp_path))
+    assert sorted(map(tuple, lookup.collect())) == sorted(map(tuple, lexicon.lookup(words, variations).collect())) and again.count() == 1
+    df = spark.createDataFrame([("1", "loserhed", None, None)], tables.REQUEST)
+    assert moderate.answer(df, lookup, again)[0].first()["outcome"] == "held_for_review"
+    with pytest.raises(RuntimeError):
+        moderate.answer(df, None, None)
+
+
 def test_lookup_is_broadcast(spark, lex, white):
     df = spark.createDataFrame([(1, "kitab")], "id int, text string")
     plan = match.scan(df, ["id"], lex, white)._jdf.queryExecution().executedPlan().toString()

@@ -165,3 +165,11 @@ def rare_rows(rows: DataFrame, row_id: str, label: str, target: int = C.AUGMENT_
     few = positives.join(F.broadcast(have.select(F.lit(1).alias("_few")))).drop("_few")
     numbered = few.withColumn("place", F.row_number().over(Window.orderBy(row_id)))
     return augment(draws.join(numbered, "place").drop("place", "have"), F.lit(label), F.col("draw"))
+
+
+def class_report(rows: DataFrame, predicted: Column, truth: Column) -> DataFrame:
+    """precision, recall, f1 and support of each class, 0 and 1."""
+    both = rows.select(predicted.alias("_p"), truth.alias("_t"))
+    each = both.select(F.explode(F.array(F.struct(F.lit(1).alias("class"), F.col("_p").alias("p"), F.col("_t").alias("t")), F.struct(F.lit(0).alias("class"), (~F.col("_p")).alias("p"), (~F.col("_t")).alias("t")))).alias("x")).select("x.*")
+    out = confusion(each, F.col("p"), F.col("t"), "class")
+    return out.select("class", "precision", "recall", "f1", (F.col("tp") + F.col("fn")).alias("support"))

@@ -238,3 +238,19 @@ def fresh(spark: SparkSession, words: DataFrame, variations: DataFrame, whitelis
     variations.createOrReplaceTempView("WordVariations")
     whitelist.createOrReplaceTempView("Whitelist")
     lookup(words, variations).createOrReplaceTempView("LexiconLookup")
+
+
+def drop_stats(roots: DataFrame, counts: DataFrame, whitelist: DataFrame) -> DataFrame:
+    """Source, dropped: candidate forms of the kept roots that the corpus guard turns away.
+
+    A mined form is judged by the guard first; another only if no earlier root owns the key and it is not blocked.
+    """
+    stay = kept_roots(roots, claims(roots, counts, whitelist).persist())
+    r = keyed(roots).where(F.col("Id").isin(stay) if stay else F.lit(False)).select("Id", "root_key")
+    owned = r.select(F.col("Id").alias("owner"), F.col("root_key").alias("form"))
+    made = unblocked(inflected_forms(r).unionByName(rule_forms(r)), whitelist)
+    taken = made.join(F.broadcast(owned), "form").where("owner <= Id").select("Id", "form").distinct()
+    judged = mined_forms(r, counts).unionByName(made.join(taken, ["Id", "form"], "left_anti").select("Id", "root_key", "form", "source", "place"))
+    known = counts.select(F.col("key").alias("form"), "toxic_count", "clean_count")
+    dropped = judged.join(known, "form").where(F.col("clean_count") >= F.greatest(F.lit(C.CLEAN_RATIO), F.col("toxic_count")))
+    return dropped.groupBy(F.col("source").alias("Source")).agg(F.count(F.lit(1)).alias("dropped"))

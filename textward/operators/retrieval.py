@@ -42,3 +42,11 @@ def answer(answered: DataFrame, ids: list[str], chunks: DataFrame, chunk_id: str
     )
     notice = F.when(F.col("outcome") == "blocked", "Your question was blocked by our content policy.").otherwise("Your question is being reviewed by a moderator.")
     return rows.select(*ids, F.col("proceed").alias("answered"), "outcome", chunk_id, F.when(F.col("proceed"), prompt).otherwise(notice).alias("message"))
+
+
+def post_comments(decided: DataFrame, *ids: str) -> DataFrame:
+    """Decided comments to ids, published, outcome: comments are public, so reviewed ones are held."""
+    from .gate import apply_policy
+
+    out = apply_policy(decided, F.lit("public"))
+    return out.select(*ids, F.col("proceed").alias("published"), "outcome")

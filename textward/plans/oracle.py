@@ -194,6 +194,12 @@ SQL: dict[str, str] = {
     "word_with_most_variations": store('SELECT bw.Id AS "Id", Word AS "Word", count(*) AS variations FROM wv JOIN bw ON bw.Id = BadWordId GROUP BY ALL ORDER BY 3 DESC, 1 LIMIT 1'),
     "manual_without_root": "SELECT * FROM (VALUES (3, 'nobody', 'n0b0dy')) AS t(\"Position\", \"Word\", \"Variation\")",
     "lexicon_point_lookup": store("SELECT NormalizedForm AS \"NormalizedForm\", Word AS \"Word\", MatchType AS \"MatchType\" FROM lk WHERE NormalizedForm = 'loserler'"),
+    "lexicon_drop_stats": store(f"""SELECT source AS "Source", count(*) AS dropped FROM made JOIN ks USING (Id) JOIN cnt ON cnt.key = form WHERE clean_count >= greatest({C.CLEAN_RATIO}, toxic_count)
+      AND (source = 'mined' OR (form NOT IN (SELECT wkey FROM white) AND NOT EXISTS (SELECT 1 FROM white WHERE scope = 'prefix' AND length(wkey) > length(rkey) AND starts_with(form, wkey))
+      AND NOT EXISTS (SELECT 1 FROM bw WHERE NormalizedWord = form AND bw.Id <= made.Id))) GROUP BY source"""),
+    "class_report": f"""WITH {_scored}, p AS (SELECT unnest([{{'class': 1, 'p': score >= 0.5, 't': toxic = 1}}, {{'class': 0, 'p': score < 0.5, 't': toxic <> 1}}], recursive := true) FROM sc),
+      c AS (SELECT class, count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (NOT p AND t) AS fn FROM p GROUP BY class), r AS (SELECT *, {RATIOS()} FROM c) SELECT class, precision, recall, {F1}, tp + fn AS support FROM r""",
+    "gated_comments": f"WITH {_gate} SELECT conv_id, turn, action = 'allow' AS published, CASE action WHEN 'block' THEN 'blocked' WHEN 'review' THEN 'held_for_review' ELSE 'allowed' END AS outcome FROM gd",
     "seed_sql": store("""SELECT 0 AS section, 1 AS place, 'DELETE FROM WordVariations;' AS line UNION ALL SELECT 0, 2, 'DELETE FROM BadWords;' UNION ALL SELECT 0, 3, 'DELETE FROM Whitelist;'
       UNION ALL SELECT 1, 0, 'INSERT INTO BadWords (Id, Word, NormalizedWord, Category, Severity) VALUES'
       UNION ALL SELECT 1, row_number() OVER (ORDER BY Id), '  (' || Id || ', ''' || Word || ''', ''' || NormalizedWord || ''', ''' || Category || ''', ' || Severity || ')' || CASE WHEN Id = (SELECT max(Id) FROM bw) THEN ';' ELSE ',' END FROM bw

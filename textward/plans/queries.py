@@ -127,6 +127,12 @@ def seed_sql(words, variations, white):
     return sinks.seed_script(words, variations, white)
 
 
+@query
+def lexicon_drop_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = mining.key_counts(corpus(spark, sf_dir)).persist()
+    return lexicon.drop_stats(fixtures.roots(spark), counts, fixtures.whitelist(spark))
+
+
 @query
 def manual_without_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.unmatched_manual(fixtures.roots(spark), fixtures.manual(spark))
@@ -233,6 +239,11 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.health(fixtures.small_lexicon(spark), False).drop("loaded_at")
 
 
+@query
+def gated_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.post_comments(_decided(spark, sf_dir).drop("surface"), "conv_id", "turn")
+
+
 # --- labels ---------------------------------------------------------------------
 @query
 def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,6 +291,11 @@ def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.confusion(checked, F.col("is_flagged"), F.col("toxic") == 1)
 
 
+@query
+def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.class_report(_scored(spark, sf_dir), F.col("toxicity_score") >= C.DEFAULT_THRESHOLD, F.col("toxic") == 1)
+
+
 @query
 def signal_or_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = match.check(_scored(spark, sf_dir), ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark))

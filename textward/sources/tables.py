@@ -93,3 +93,14 @@ def literal(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFra
 
 Scorer = Callable[[DataFrame], DataFrame]
 """Rows with id columns and text to the same ids with label and score."""
+
+
+def load_lexicon(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(lookup, whitelist) from the built CSV files bad_words, word_variations and whitelist of a folder."""
+    from ..operators.lexicon import lookup
+
+    words = read_csv(spark, f"{folder}/bad_words.csv", STRINGS("Id", "Word", "NormalizedWord", "Category", "Severity"))
+    variations = read_csv(spark, f"{folder}/word_variations.csv", STRINGS("Id", "BadWordId", "Variation", "NormalizedVariation", "Source"))
+    white = read_csv(spark, f"{folder}/whitelist.csv", STRINGS("Phrase", "NormalizedPhrase", "Scope", "Reason"))
+    numbers = words.withColumns({"Id": F.col("Id").cast("int"), "Severity": F.col("Severity").cast("int")})
+    return lookup(numbers, variations.withColumn("BadWordId", F.col("BadWordId").cast("int"))), white

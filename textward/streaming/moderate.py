@@ -9,7 +9,10 @@ from ..operators import gate, match
 
 
 def answer(requests: DataFrame, lexicon: DataFrame, whitelist: DataFrame, scorer=None) -> tuple[DataFrame, DataFrame]:
-    """(answered, rejected) of a batch of requests with request_id, text, surface, context."""
+    """(answered, rejected) of a batch of requests with request_id, text, surface, context. Without a lexicon
+    there is no gate, and that is an error."""
+    if lexicon is None or whitelist is None:
+        raise RuntimeError("moderation gate not loaded")
     accepted, rejected = gate.split_requests(requests)
     ids = ["request_id"]
     checked = match.check(accepted, ids, lexicon, whitelist)
