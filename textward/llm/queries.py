@@ -58,11 +58,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: SQL has neither XXH64 (6), a forest (2), a tokenizer (8) nor context trees (9), and no CRC-32 (5).
+#: SQL has neither XXH64 (6), a forest (2), a tokenizer (8) nor context trees (9).
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.QUALITY_SQL,
     "op3_warc_derivatives": warc.WARC_SQL,
     "op4_embedding_dedup": embedding_dedup.LINKS_SQL,
+    "op5_sharding": sharding.SHARD_SQL,
     "op7_chat_formatting": chat_format.CHAT_SQL,
     "op10_mixing": mixing.MIX_SQL,
 }

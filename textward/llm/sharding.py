@@ -122,3 +122,23 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, n_slots: int = SLOT
         (_lookup(before, F.col("virtual_slot")) + rank - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(len(versions)).alias("map_version"),
     )
+
+
+#: The same in DuckDB: CRC-32 byte by byte, and the deal as a recursion over the slots in use.
+SHARD_SQL = f"""
+WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+y AS (SELECT doc_id, n, list_transform(range(n), lambda i: ('0x' || substr(h, 1 + 2 * i, 2))::BIGINT) AS b FROM h),
+d AS (SELECT doc_id, n + 1 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) AS crc,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {SLOTS} AS vs FROM y, tb),
+s AS (SELECT vs, sum(size)::BIGINT AS b FROM d GROUP BY vs),
+q AS (SELECT *, row_number() OVER (ORDER BY b DESC, vs) AS k FROM s),
+g(k, vs, p, loads) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, list_transform(range({SHARDS}), lambda i: 0::BIGINT)
+  UNION ALL SELECT q.k, q.vs, list_position(loads, list_min(loads))::BIGINT,
+    list_transform(loads, lambda v, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN v + q.b ELSE v END) FROM g JOIN q ON q.k = g.k + 1)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, (p - 1)::INTEGER AS shard,
+  row_number() OVER (PARTITION BY p ORDER BY d.vs, doc_id NULLS FIRST, crc, size) - 1 AS slot, NULL::INTEGER AS grown_shard, d.vs::INTEGER AS virtual_slot, 1 AS map_version
+FROM d JOIN g ON g.vs = d.vs
+"""
