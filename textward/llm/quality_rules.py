@@ -125,7 +125,9 @@ def with_rules(
 def clean_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, with the columns of docs; text holds what the line rules leave."""
     safe, names = carried(docs, "text")
-    out = with_rules(safe, **options).where("kept").withColumn("text", F.col("clean_text"))
+    # A filter would be pushed below and work out every rule again for each use; exploding one row or none is not.
+    stay = F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    out = with_rules(safe, **options).withColumn("_stay", F.explode(stay)).withColumn("text", F.col("clean_text"))
     return out.select(*names).toDF(*docs.columns)
 
 
