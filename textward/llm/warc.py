@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import need, whole
 
 DATE = "2024-01-01T00:00:00Z"
-#: Entities that are decoded, & last.
+#: Entities that are decoded.
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
     ("&reg;", "®"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
@@ -47,7 +47,7 @@ MANY_SPACES = "[ \t-\r]{2,}|[\t-\r]"
 def base32_sha1(text: Column) -> Column:
     """sha1: and the digest in the base 32 that WARC files use."""
     digest = F.sha1(text)
-    digits = F.concat(*[F.lpad(F.lower(F.conv(F.substring(digest, 1 + 5 * i, 5), 16, 32)), 4, "0") for i in range(8)])
+    digits = F.concat(*[F.lpad(F.lower(F.conv(F.substring(digest, 1 + 10 * i, 10), 16, 32)), 8, "0") for i in range(4)])
     return F.concat(F.lit("sha1:"), F.translate(digits, "0123456789abcdefghijklmnopqrstuv", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
 
 
@@ -56,14 +56,21 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
+def _decoded(part: Column) -> Column:
+    """What follows an ampersand, with the ampersand's entity decoded."""
+    out = F.concat(F.lit("&"), part)
+    for name, char in reversed(ENTITIES):
+        out = F.when(F.startswith(part, F.lit(name[1:])), F.concat(F.lit(char), F.substring(part, len(name), 2**31 - 1))).otherwise(out)
+    return out
+
+
 def text_of(html: Column) -> Column:
     silent = rf"(?is)<!--.*?(?:-->|$)|<({'|'.join(SILENT)})(?:\s[^>]*)?>.*?(?:</\1\s*>|$)"
     x = F.regexp_replace(html, silent, "")
     x = F.regexp_replace(x, MANY_SPACES, " ")
     x = F.regexp_replace(x, rf"(?i)</?({BREAKS})(\s[^>]*)?/?>", "\n")
     x = F.regexp_replace(x, "<[^>]*>", "")
-    for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
+    x = F.array_join(F.transform(F.split(x, "&"), lambda part, i: F.when(i == 0, part).otherwise(_decoded(part))), "")
     x = F.regexp_replace(x, " *\n[ \n]*", "\n")
     return F.regexp_replace(x, "^[ \n]+|[ \n]+$", "")
 
