@@ -29,6 +29,9 @@ ENDINGS = ".!?:;…\"'”’»)]"
 #: Marks that separate the entries of navigation lines.
 SEPARATORS = "|»›•"
 
+#: A line of so many words may end without such a mark: prose that was cut off, no heading or menu.
+CUT_WORDS = 30
+
 #: A word of a line, as elsewhere.
 WORD = r"[^ \t-\r]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -50,7 +53,7 @@ def _line_rules(line: Column, max_symbol_share: float, max_shout_share: float) -
     for phrase in BOILERPLATE:
         boilerplate = boilerplate | F.contains(lowered, F.lit(phrase))
     return {
-        "punctuation": ~ended | (n_symbols > max_symbol_share * length) | (n_shouts > max_shout_share * n_words),
+        "punctuation": (~ended & (n_words < CUT_WORDS)) | (n_symbols > max_symbol_share * length) | (n_shouts > max_shout_share * n_words),
         "navigation": (n_separators >= 2) | ((n_words <= 3) & ~ended),
         "boilerplate": boilerplate,
     }
@@ -154,7 +157,7 @@ lf AS (
     len(list_filter(regexp_split_to_array(x, '[ \t-\r]+'), lambda y: y <> '')) AS nw FROM ln),
 lv AS (
   SELECT r, x, has, n,
-    NOT (regexp_matches(s, '[.!?:;…"''”’»)\]]$')) OR sy > 0.1 * n OR sh > 0.5 * nw OR sp >= 2
+    (NOT (regexp_matches(s, '[.!?:;…"''”’»)\]]$')) AND nw < CUT_WORDS) OR sy > 0.1 * n OR sh > 0.5 * nw OR sp >= 2
     OR regexp_matches(lower(x), 'BOILER') AS bad FROM lf),
 la AS (
   SELECT r, count(*) FILTER (has) AS n_lines, count(DISTINCT x) FILTER (has) AS u, count(*) FILTER (has AND bad) AS n_bad,
@@ -168,4 +171,4 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND share <= 0.5 AS kept, n_lines, n_bad_lines FROM b
-""".replace("BOILER", "|".join(BOILERPLATE))
+""".replace("BOILER", "|".join(BOILERPLATE)).replace("CUT_WORDS", str(CUT_WORDS))
