@@ -47,10 +47,16 @@ def key_map() -> tuple[str, str]:
 
 def normalise(text: Column) -> Column:
     """Key of a word: letters folded, look-alikes and stand-ins read as letters, the rest dropped, repeats
-    collapsed. Empty for null and for text without a letter."""
+    collapsed. Empty for null and for text without a letter. Plain Latin words take a shorter way to the same key."""
     src, dst = key_map()
     plain = F.regexp_replace(F.translate(text, src, dst), "[^a-z0-9]+", "")
-    return F.when(text.rlike(r"\p{L}"), F.regexp_replace(plain, r"(.)\1+", "$1")).otherwise(F.lit(""))
+    collapsed = lambda x: F.regexp_replace(x, r"(.)\1+", "$1")
+    return (
+        F.when(text.rlike(r"^[a-z]+\z") & ~text.rlike(r"(.)\1"), text)
+        .when(text.rlike(r"^[A-Za-z]+\z"), collapsed(F.lower(text)))
+        .when(text.rlike(r"\p{L}"), collapsed(plain))
+        .otherwise(F.lit(""))
+    )
 
 
 def tokens(text: Column) -> Column:
@@ -67,7 +73,9 @@ def near_key(text: Column) -> Column:
 def stem(key: Column) -> Column:
     """key without its first listed suffix that leaves a stem; null if there is none."""
     out = F.regexp_extract(key, "^(.{%d,}?)(?:%s)$" % (C.MIN_STEM, "|".join(C.FALLBACK_SUFFIXES)), 1)
-    return F.when(out != "", out)
+    # Most keys end like no suffix at all, which two letters tell.
+    ends = F.right(key, F.lit(2)).isin(sorted({s[-2:] for s in C.FALLBACK_SUFFIXES}))
+    return F.nullif(F.when(ends, out), F.lit(""))
 
 
 def quote(value: Column) -> Column:

@@ -6,14 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import stem
+from ..functions.text import normalise, stem, tokens
 from .lexicon import extended
-from .mining import token_rows
 
+#: Prefix-scoped phrases up to this many are compared as constants; more are joined.
+CONSTANT_PREFIXES = 1000
 #: Lexicons up to this many entries are broadcast; larger ones are joined by shuffle.
 BROADCAST_ENTRIES = 500_000
 
 
+def candidate_rows(texts: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, is_run, pos, token, key: every token, and every run of letters as letter_runs makes them, from one
+    pass over each text."""
+    d = texts.select(*ids, tokens(F.col("text")).alias("_t"))
+    d = d.withColumn("_k", F.transform("_t", normalise))
+    d = d.withColumn("_one", F.filter(F.transform("_k", lambda k, i: F.when(F.length(k) == 1, i)), lambda i: i.isNotNull()))
+    one = F.col("_one")
+    first = F.filter(one, lambda x, j: F.coalesce(F.get(one, j - 1) != x - 1, F.lit(True)))
+    last = F.filter(one, lambda x, j: F.coalesce(F.get(one, j + 1) != x + 1, F.lit(True)))
+    spans = F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: s["b"] - s["a"] >= C.RUN_LENGTH - 1)
+    row = lambda run, pos, token, key: F.struct(F.lit(run).alias("is_run"), pos.alias("pos"), token.alias("token"), key.alias("key"))
+    part = lambda of, s: F.slice(of, s["a"] + 1, s["b"] - s["a"] + 1)
+    runs = F.transform(spans, lambda s: row(True, s["a"], F.array_join(part("_t", s), " "), F.array_join(part("_k", s), "")))
+    plain = F.transform("_k", lambda k, i: row(False, i, F.get("_t", i), k))
+    return d.select(*ids, F.explode(F.concat(plain, runs)).alias("c")).select(*ids, "c.*")
+
+
 def letter_runs(rows: DataFrame, ids: list[str]) -> DataFrame:
     """Runs of at least RUN_LENGTH tokens whose keys are single characters, in a row: ids, pos (of the
     first), token (joined by spaces), key (joined, not collapsed again)."""
@@ -34,6 +52,20 @@ def whitelisted(keys: DataFrame, whitelist: DataFrame) -> DataFrame:
     return exact.union(extended(own, whitelist)).distinct()
 
 
+def unshielded(rows: DataFrame, column: str, whitelist: DataFrame) -> DataFrame:
+    """rows whose key in a column the whitelist does not shield. A curated list's prefixes are compared as
+    constants, so that rows are worked out once; beyond CONSTANT_PREFIXES the shielded keys are joined."""
+    prefixes = [r[0] for r in whitelist.where("Scope = 'prefix'").select("NormalizedPhrase").distinct().limit(CONSTANT_PREFIXES + 1).collect()]
+    if len(prefixes) > CONSTANT_PREFIXES:
+        safe = whitelisted(rows.select(F.col(column).alias("key")), whitelist).withColumnRenamed("key", column)
+        return rows.join(safe, column, "left_anti")
+    exact = whitelist.select(F.col("NormalizedPhrase").alias(column)).distinct()
+    out = rows.join(exact, column, "left_anti")
+    for p in sorted(prefixes):
+        out = out.where(~F.startswith(F.col(column), F.lit(p)))
+    return out
+
+
 def resolve(rows: DataFrame, lexicon: DataFrame, n_entries: int | None = None) -> DataFrame:
     """rows(key, ...) that the lexicon knows, by key or by one or two suffixes less, with matched and the
     entry's word, category, severity, match_type. The first of the three that is known counts."""
@@ -57,13 +89,10 @@ def scan(texts: DataFrame, ids: list[str], lexicon: DataFrame, whitelist: DataFr
 
     The whitelist is asked for the unstripped key; check_stem asks for the matched one too.
     """
-    rows = token_rows(texts.select(*ids, "text"), ids)
-    every = rows.withColumn("is_run", F.lit(False)).unionByName(letter_runs(rows, ids).withColumn("is_run", F.lit(True)))
-    found = resolve(every.where("key <> ''"), lexicon)
-    found = found.join(whitelisted(found, whitelist), "key", "left_anti")
+    found = resolve(candidate_rows(texts, ids).where("key <> ''"), lexicon)
+    found = unshielded(found, "key", whitelist)
     if check_stem:
-        safe = whitelisted(found.select(F.col("matched").alias("key")), whitelist).withColumnRenamed("key", "matched")
-        found = found.join(safe, "matched", "left_anti")
+        found = unshielded(found, "matched", whitelist)
     return found.select(*ids, "is_run", "pos", "token", "key", "matched", "word", "category", "severity", "match_type")
 
 

@@ -22,8 +22,16 @@ REQUEST = T.StructType(
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a scan with fewer splits than cores (one small file) is dealt out once. Large inputs have
+    more splits than cores and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "conversations") else df
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
