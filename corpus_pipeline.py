@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textward.llm import language_id, mixing, packing, secret_scan, simhash_dedup
 from textward.llm.common import stage as staged
+from textward.llm.common import table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table; what one keeps is written before the next begins."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
         docs = staged(function(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
