@@ -9,6 +9,8 @@ from ..functions import constants as C
 from ..functions.text import unit
 from .mining import document_keys
 
+BROADCAST_WEIGHTS = 500_000
+
 #: Letters that the attack writes as digits.
 ATTACK = ("aeiosAEIOS", "4310543105")
 
@@ -16,9 +18,11 @@ ATTACK = ("aeiosAEIOS", "4310543105")
 def linear_scores(texts: DataFrame, ids: list[str], weights: DataFrame, bias: float) -> DataFrame:
     """texts(ids, text) with toxicity_score: sigmoid of bias and the weights of the distinct keys in the text.
 
-    weights(key, weight) is small (candidates of mining). Texts with none of the keys get the bias alone.
+    Up to BROADCAST_WEIGHTS weights(key, weight) are broadcast, more are joined by shuffle. Texts with none of the
+    keys get the bias alone.
     """
-    hits = document_keys(texts.select(*ids, "text")).join(F.broadcast(weights), "key")
+    side = F.broadcast(weights) if weights.count() <= BROADCAST_WEIGHTS else weights
+    hits = document_keys(texts.select(*ids, "text")).join(side, "key")
     sums = hits.groupBy(*ids).agg(F.sum("weight").alias("_w"))
     z = F.coalesce("_w", F.lit(0.0)) + F.lit(bias)
     return texts.join(sums, ids, "left").withColumn("toxicity_score", F.round(1 / (1 + F.exp(-z)), 6)).drop("_w")

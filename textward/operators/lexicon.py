@@ -128,7 +128,7 @@ def kept_roots(roots: DataFrame, claimed: DataFrame) -> list[int]:
     """Ids of the roots that no kept earlier root has claimed, in order. Works on the curated list alone."""
     r = keyed(roots).select("Id", "root_key")
     own = r.select(F.col("Id").alias("later"), F.col("root_key").alias("form"))
-    by_form = claimed.select("Id", "form").join(F.broadcast(own), "form").where("Id < later")
+    by_form = claimed.select("Id", "form").join(own, "form").where("Id < later")
     by_key = r.select("Id", F.col("root_key").alias("form")).join(own, "form").where("Id < later")
     links: dict[int, set[int]] = {}
     for e in by_form.select("Id", "later").unionByName(by_key.select("Id", "later")).distinct().collect():
@@ -148,7 +148,7 @@ def build(roots: DataFrame, manual: DataFrame, whitelist: DataFrame, counts: Dat
     words = r.select("Id", "Word", F.col("root_key").alias("NormalizedWord"), "Category", "Severity")
     rank = reduce(lambda x, kv: F.when(F.col("source") == kv[0], kv[1]).otherwise(x), SOURCES.items(), F.lit(None))
     base = r.select("Id", "root_key", F.col("root_key").alias("form"), F.lit("base").alias("source"), F.lit(0).alias("place"))
-    forms = claimed.join(F.broadcast(r.select("Id")), "Id").unionByName(base).withColumn("rank", rank)
+    forms = claimed.join(r.select("Id"), "Id").unionByName(base).withColumn("rank", rank)
     first = Window.partitionBy("form").orderBy("Id", "rank", "place")
     taken = forms.withColumn("n", F.row_number().over(first)).where("n = 1")
     generated = taken.where("source <> 'base'").select(
@@ -160,7 +160,7 @@ def build(roots: DataFrame, manual: DataFrame, whitelist: DataFrame, counts: Dat
         F.lit("leet").alias("Source"), "place",
     )
     by_hand = manual.select("Position", "Variation", normalise(F.col("Word")).alias("root_key"), normalise(F.col("Variation")).alias("form"))
-    by_hand = by_hand.join(F.broadcast(r.select("Id", "root_key")), "root_key").where("form <> ''").join(taken.select("form"), "form", "left_anti")
+    by_hand = by_hand.join(r.select("Id", "root_key"), "root_key").where("form <> ''").join(taken.select("form"), "form", "left_anti")
     once = Window.partitionBy("form").orderBy("Position")
     by_hand = by_hand.withColumn("n", F.row_number().over(once)).where("n = 1").select(
         F.col("Id").alias("BadWordId"), "Variation", F.col("form").alias("NormalizedVariation"), F.lit("manual").alias("Source"),
@@ -249,7 +249,7 @@ def drop_stats(roots: DataFrame, counts: DataFrame, whitelist: DataFrame) -> Dat
     r = keyed(roots).where(F.col("Id").isin(stay) if stay else F.lit(False)).select("Id", "root_key")
     owned = r.select(F.col("Id").alias("owner"), F.col("root_key").alias("form"))
     made = unblocked(inflected_forms(r).unionByName(rule_forms(r)), whitelist)
-    taken = made.join(F.broadcast(owned), "form").where("owner <= Id").select("Id", "form").distinct()
+    taken = made.join(owned, "form").where("owner <= Id").select("Id", "form").distinct()
     judged = mined_forms(r, counts).unionByName(made.join(taken, ["Id", "form"], "left_anti").select("Id", "root_key", "form", "source", "place"))
     known = counts.select(F.col("key").alias("form"), "toxic_count", "clean_count")
     dropped = judged.join(known, "form").where(F.col("clean_count") >= F.greatest(F.lit(C.CLEAN_RATIO), F.col("toxic_count")))

@@ -356,6 +356,49 @@ def classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.confusion(scored, F.col("score") >= C.DEFAULT_THRESHOLD, F.col("toxic") == 1, "split")
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    return features.hashed(rows, features.word_grams(F.col("text")), 1 << 12)
+
+
+def _table(spark: SparkSession, names: tuple[str, str], rows: list[tuple]) -> DataFrame:
+    from ..sources.tables import literal
+
+    return literal(spark, list(names), rows)
+
+
+@query
+def svm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear SVM with calibrated scores, trained on train, scored on val and test."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _hashed(labels.split(corpus(spark, sf_dir)).drop("near_key")).persist()
+    model, a, b = features.support_vectors(rows.where("split = 'train'"), "toxic", 20)
+    margin = vector_to_array(F.col("rawPrediction"))[1]
+    scored = model.transform(rows.where("split <> 'train'")).withColumn("score", 1 / (1 + F.exp(-(margin * a + b))))
+    return evaluation.confusion(scored, F.col("score") >= C.DEFAULT_THRESHOLD, F.col("toxic") == 1, "split")
+
+
+@query
+def model_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature configurations by macro F1 on val at their best thresholds, best first."""
+    rows = labels.split(corpus(spark, sf_dir)).drop("near_key").persist()
+    configs = {
+        "words": _hashed,
+        "characters": lambda df: features.hashed(df, features.char_grams(F.col("text"), 2, 4), 1 << 12),
+    }
+    found = features.experiments(configs, rows.where("split = 'train'"), rows.where("split = 'val'"), ["toxic"], iterations=25)
+    return _table(spark, ("config", "macro_f1"), found)
+
+
+@query
+def repair_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro F1 on val after training on the original and on the repaired train labels."""
+    checked = _checked(spark, sf_dir).persist()
+    train, val = checked.where("split = 'train'"), checked.where("split = 'val'")
+    found = features.compare_repair(train, labels.relabel(checked, categories={"insult": "quality"}), val, ["toxic"], _hashed, iterations=25)
+    return _table(spark, ("labels", "macro_f1"), found)
+
+
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
 
