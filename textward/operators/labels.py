@@ -9,20 +9,30 @@ from ..functions import constants as C
 from ..functions.text import near_key
 
 
-def vote_groups(rows: DataFrame, labels: list[str]) -> DataFrame:
-    """Near-duplicate groups whose rows disagree: near_key, n, and for each label its positives."""
-    keyed = rows.withColumn("near_key", near_key(F.col("text"))).where("near_key <> ''")
-    groups = keyed.groupBy("near_key").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"pos_{c}") for c in labels], F.size(F.collect_set(F.struct(*labels))).alias("kinds")
+def _groups(rows: DataFrame, labels: list[str], *more: Column) -> DataFrame:
+    """Groups of rows(_key, labels) that disagree: _key, n, positives of each label."""
+    groups = rows.where("_key is not null").groupBy("_key").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"pos_{c}") for c in labels], F.size(F.collect_set(F.struct(*labels))).alias("kinds"), *more
     )
     return groups.where("n >= 2 and kinds > 1").drop("kinds")
 
 
+def _digest(near: Column) -> Column:
+    """What rows are grouped by in place of the whole text; null for an empty key."""
+    return F.when(near != "", F.md5(near))
+
+
+def vote_groups(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """Near-duplicate groups whose rows disagree: near_key, n, and for each label its positives."""
+    keyed = rows.withColumn("near_key", near_key(F.col("text"))).withColumn("_key", _digest(F.col("near_key")))
+    return _groups(keyed, labels, F.min("near_key").alias("near_key")).select("near_key", "n", *[f"pos_{c}" for c in labels])
+
+
 def vote(rows: DataFrame, labels: list[str]) -> DataFrame:
     """rows with the majority label of their group, ties positive, and `changed`. Only groups that disagree
-    are joined back, so the votes stay small whatever the number of copies."""
-    groups = vote_groups(rows, labels).withColumnRenamed("near_key", "_key")
-    joined = rows.withColumn("_key", near_key(F.col("text"))).join(groups, "_key", "left")
+    are joined back, so the votes stay small whatever the number of copies; keys are digests, never texts."""
+    keyed = rows.withColumn("_key", _digest(near_key(F.col("text"))))
+    joined = keyed.join(_groups(keyed, labels), "_key", "left")
     new = {c: F.when(F.col("n").isNull(), F.col(c)).otherwise((F.col(f"pos_{c}") * 2 >= F.col("n")).cast("int")) for c in labels}
     changed = F.lit(False)
     for c in labels:
@@ -60,14 +70,16 @@ def split(rows: DataFrame, label: str = "toxic", train: float = C.TRAIN_SHARE, v
     in order of a seeded digest: the first train share (rounded down), then the val share, then test.
     """
     key = near_key(F.col("text"))
-    keyed = rows.withColumn("near_key", F.when(key != "", key).otherwise(F.col("text")))
-    groups = keyed.groupBy("near_key").agg((F.avg(label) > 0.5).cast("int").alias("stratum"))
-    placed = ranked(groups, "stratum", F.md5(F.concat(F.col("near_key"), F.lit(f"|{seed}"))))
+    keyed = rows.withColumn("near_key", F.coalesce(F.when(key != "", key).otherwise(F.col("text")), F.lit("")))
+    # The digest that orders the groups also names them, so no text is shuffled to form them.
+    keyed = keyed.withColumn("_group", F.md5(F.concat(F.col("near_key"), F.lit(f"|{seed}"))))
+    groups = keyed.groupBy("_group").agg((F.avg(label) > 0.5).cast("int").alias("stratum"))
+    placed = ranked(groups, "stratum", F.col("_group"))
     n_train, n_val = F.floor(F.col("of") * train), F.floor(F.col("of") * val)
     named = placed.withColumn(
         "split", F.when(F.col("place") < n_train, "train").when(F.col("place") < n_train + n_val, "val").otherwise("test")
     )
-    return keyed.join(named.select("near_key", "split"), "near_key")
+    return keyed.join(named.select("_group", "split"), "_group").drop("_group")
 
 
 def positive_rates(splits: DataFrame, label: str = "toxic") -> DataFrame:
