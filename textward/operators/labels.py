@@ -10,16 +10,18 @@ from ..functions.text import near_key
 
 
 def _groups(rows: DataFrame, labels: list[str], *more: Column) -> DataFrame:
-    """Groups of rows(_key, labels) that disagree: _key, n, positives of each label."""
-    groups = rows.where("_key is not null").groupBy("_key").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"pos_{c}") for c in labels], F.size(F.collect_set(F.struct(*labels))).alias("kinds"), *more
+    """Groups of rows(_key, labels) that disagree, but for that of empty keys: _key, n, positives of each label."""
+    # Asked of the aggregate, the condition on the key is not pushed below either.
+    groups = rows.groupBy("_key").agg(
+        F.min("_key").alias("some"), F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"pos_{c}") for c in labels], F.size(F.collect_set(F.struct(*labels))).alias("kinds"), *more
     )
-    return groups.where("n >= 2 and kinds > 1").drop("kinds")
+    return groups.where((F.col("some") != F.md5(F.lit(""))) & F.expr("n >= 2 and kinds > 1")).drop("kinds", "some")
 
 
 def _digest(near: Column) -> Column:
-    """What rows are grouped by in place of the whole text; null for an empty key."""
-    return F.when(near != "", F.md5(near))
+    """What rows are grouped by in place of the whole text. Never null: a join's own null filter would be pushed
+    down to the scan and work out the key once more there."""
+    return F.md5(F.coalesce(near, F.lit("")))
 
 
 def vote_groups(rows: DataFrame, labels: list[str]) -> DataFrame:
@@ -69,8 +71,8 @@ def split(rows: DataFrame, label: str = "toxic", train: float = C.TRAIN_SHARE, v
     A group's class is the rounded mean of its labels, a half counting as 0. Within a class the groups are cut
     in order of a seeded digest: the first train share (rounded down), then the val share, then test.
     """
-    key = near_key(F.col("text"))
-    keyed = rows.withColumn("near_key", F.coalesce(F.when(key != "", key).otherwise(F.col("text")), F.lit("")))
+    own = F.when(F.col("near_key") != "", F.col("near_key")).otherwise(F.col("text"))
+    keyed = rows.withColumn("near_key", near_key(F.col("text"))).withColumn("near_key", F.coalesce(own, F.lit("")))
     # The digest that orders the groups also names them, so no text is shuffled to form them.
     keyed = keyed.withColumn("_group", F.md5(F.concat(F.col("near_key"), F.lit(f"|{seed}"))))
     groups = keyed.groupBy("_group").agg((F.avg(label) > 0.5).cast("int").alias("stratum"))
