@@ -16,6 +16,9 @@ from textward.llm import language_id, mixing, packing, secret_scan, simhash_dedu
 from textward.llm.common import stage as staged
 from textward.llm.common import table
 
+#: Share of the tokens that the mixing stage keeps at least, however rare the rarest source is.
+LEAST_SHARE = 2 / 3
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no known language go: no letter, no text, or no language with half of the score."""
@@ -33,8 +36,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens meet the target shares of sources, languages and topics."""
-    return mixing.sample(docs)
+    """A sample whose tokens meet the target shares of sources, languages and topics.
+
+    It has two thirds of the tokens at least; a source or language too rare for that is kept whole.
+    """
+    return mixing.sample(docs, least_share=LEAST_SHARE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

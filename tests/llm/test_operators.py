@@ -451,3 +451,25 @@ def test_sampling(spark):
     kept = mixing.sample(clashing(df))
     assert kept.columns == clashing(df).columns and kept.count() == sum(r["kept"] for r in got)
     assert mixing.mix_report(docs(spark, [])).count() == 0 and mixing.mix_report(docs(spark, [None, ""])).count() == 2
+
+
+def test_least_share_of_tokens(spark):
+    rng = np.random.default_rng(5)
+    cells = [(int(rng.integers(1, 5000)), float(rng.uniform(0.5, 2))) for _ in range(40)] + [(5, 30.0), (9, 12.0), (0, 1.0)]
+    df = spark.createDataFrame(cells, "tokens long, ratio double").coalesce(1).cache()
+    total = sum(t for t, _ in cells)
+    kept = lambda by: sum(t * min(1, r / by) for t, r in cells) / total
+    for share in (0.1, 2 / 3, 0.95, 1.0):
+        assert abs(kept(mixing._divisor(df, 30.0, share)) - share) < 1e-9
+    assert mixing._divisor(df, 30.0, 0.01) == 30.0  # the largest ratio leaves enough
+
+
+def test_one_rare_source_does_not_shrink_the_sample(spark):
+    rows = [(i, "word " * (5 + i % 40), "en", "hot" if i % 2 else f"s{i % 3}", None) for i in range(3000)] + [(9999, "word " * 5, "en", "stray", None)]
+    df = spark.createDataFrame(rows, DOC).coalesce(1)
+    share = lambda got: sum(r["n_tokens"] for r in got if r["kept"]) / sum(r["n_tokens"] for r in got)
+    bare, got = (mixing.mix_report(df, least_share=s).collect() for s in (0.0, 2 / 3))
+    assert share(bare) < 0.4 and abs(share(got) - 2 / 3) < 0.03
+    assert [(r["probability"], r["kept"]) for r in got if r["source"] == "stray"] == [(1.0, True)]
+    assert {r["doc_id"] for r in bare if r["kept"]} <= {r["doc_id"] for r in got if r["kept"]}
+    assert {r["source"] for r in mixing.sample_cells(df, least_share=2 / 3).where("capped").collect()} == {"stray"}

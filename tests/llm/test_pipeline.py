@@ -56,3 +56,9 @@ def test_sql_agrees(spark, tmp_path):
         df = queries.QUERIES[name](spark, d)
         assert sorted(df.columns) == columns
         assert Counter(repr(list(r)) for r in df.select(*columns).collect()) == rows, name
+
+
+def test_mixing_stage_keeps_its_share_with_a_rare_source(spark):
+    rows = [(i, "word " * (60 + i % 50), "en", "a" if i % 2 else "b", None) for i in range(2000)] + [(5000, "word " * 60, "en", "stray", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert P.mix(spark, docs, "").count() > 0.6 * len(rows)

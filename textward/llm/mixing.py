@@ -7,6 +7,13 @@ ratio of a cell's fitted to its observed tokens, over the largest such ratio,
 is the probability with which each of its documents is sampled, so the sample's
 expected token shares are the fitted ones and no document comes twice.
 
+One rare source or language has a large ratio and so makes everyone's chance
+small. Where `least_share` is given, at least that share of all tokens is
+expected in the sample: if the largest ratio leaves less, the ratios are
+divided by a smaller number, worked out so that the share is met with no chance
+over 1. Cells at 1 are kept whole and stay under their target (sample_cells
+names them); all others keep the fitted proportions to each other.
+
 Targets not given are tempered shares: share ** power, made to sum to 1.
 
 Defined cases: a null source or language is a value of its own, "(none)"; a
@@ -77,31 +84,65 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, p
     return cells.join(fitted, list(DIMENSIONS), "left").withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
 
 
-def _probabilities(described: DataFrame, targets, powers) -> DataFrame:
-    """described plus weight (the cell's ratio) and probability."""
+def _divisor(raked: DataFrame, most: float, least_share: float) -> float:
+    """The largest number, at most `most`, that the ratios may be divided by for a sample of least_share of the tokens."""
+    by = most
+    while True:
+        # Each round caps the cells whose chance would pass 1 and deals what is missing over the others.
+        capped, fitted = F.col("ratio") >= by, F.col("tokens") * F.col("ratio")
+        total, whole_cells, others = raked.where("tokens > 0").agg(
+            F.sum("tokens"), F.sum(F.when(capped, F.col("tokens")).otherwise(0)), F.sum(F.when(capped, 0.0).otherwise(fitted))
+        ).first()
+        missing = least_share * total - whole_cells
+        if missing <= 0 or not others or others / missing >= by:
+            return by
+        by = others / missing
+
+
+def _ratios(described: DataFrame, targets, powers, least_share: float) -> tuple[DataFrame, int]:
+    """(source, lang, topic, tokens, weight, probability) of the cells, and their count."""
+    if not 0 <= least_share <= 1:
+        raise ValueError(f"least_share must be from 0 to 1: {least_share}")
     cells = stage(described.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     raked = stage(rake(cells, targets, powers), "ratios")
     n, most = raked.agg(F.count(F.lit(1)), F.max(F.when(F.col("tokens") > 0, F.col("ratio")))).first()
-    ratios = raked.select(*DIMENSIONS, F.col("ratio").alias("weight"), F.least(F.lit(1.0), F.col("ratio") / F.lit(most or 1.0)).alias("probability"))
+    by = _divisor(raked, most, least_share) if most and least_share else most or 1.0
+    probability = F.least(F.lit(1.0), F.col("ratio") / F.lit(by))
+    return raked.select(*DIMENSIONS, "tokens", F.col("ratio").alias("weight"), probability.alias("probability")), n
+
+
+def _probabilities(described: DataFrame, targets, powers, least_share: float) -> DataFrame:
+    """described plus weight (the cell's ratio) and probability."""
+    ratios, n = _ratios(described, targets, powers, least_share)
+    ratios = ratios.drop("tokens")
     return described.join(F.broadcast(ratios) if n <= BROADCAST_CELLS else ratios, list(DIMENSIONS))
 
 
-def mix_report(docs: DataFrame, targets=None, powers: dict[str, float] = POWERS) -> DataFrame:
+def sample_cells(docs: DataFrame, targets=None, powers: dict[str, float] = POWERS, least_share: float = 0.0) -> DataFrame:
+    """source, lang, topic, tokens, weight, probability, capped of each cell; capped: its chance would pass 1."""
+    d = _described(need(docs, "doc_id", "text", "source", "lang"))
+    cells, _ = _ratios(d, targets, powers, least_share)
+    # Uncapped cells share one quotient of probability and weight; a capped one has a smaller.
+    by = cells.where("tokens > 0").agg(F.max(F.col("probability") / F.col("weight"))).first()[0] or 1.0
+    return cells.withColumn("capped", F.col("weight") * F.lit(by) > 1 + 1e-9)
+
+
+def mix_report(docs: DataFrame, targets=None, powers: dict[str, float] = POWERS, least_share: float = 0.0) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, kept of each document."""
     d = _described(need(docs, "doc_id", "text", "source", "lang"))
     d = d.select("doc_id", "source", "lang", "topic", "n_tokens", chance(F.col("doc_id"), F.col("text")).alias("chance"))
-    d = _probabilities(stage(d, "described"), targets, powers)
+    d = _probabilities(stage(d, "described"), targets, powers, least_share)
     return d.select(
         "doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"),
         F.round("probability", 6).alias("probability"), (F.col("chance") < F.col("probability")).alias("kept"),
     )
 
 
-def sample(docs: DataFrame, targets=None, powers: dict[str, float] = POWERS) -> DataFrame:
+def sample(docs: DataFrame, targets=None, powers: dict[str, float] = POWERS, least_share: float = 0.0) -> DataFrame:
     """The sampled documents, with the columns of docs."""
     safe, names = carried(docs, "doc_id", "text", "source", "lang")
     own = safe.withColumns({"__source": F.col("source"), "__lang": F.col("lang")})
-    d = _probabilities(_described(own), targets, powers).where(chance(F.col("doc_id"), F.col("text")) < F.col("probability"))
+    d = _probabilities(_described(own), targets, powers, least_share).where(chance(F.col("doc_id"), F.col("text")) < F.col("probability"))
     back = {"source": "__source", "lang": "__lang"}
     return d.select(*[F.col(back.get(n, n)) for n in names]).toDF(*docs.columns)
 
