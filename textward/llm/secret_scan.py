@@ -1,6 +1,7 @@
 """Secret scans with a random forest against false positives, native.
 
-Candidates are runs of at least 16 characters of keys that hold a digit. Each
+Candidates are runs of at least 16 characters of keys that hold a digit, with
+their padding ('=') but without a name and '=' before them. Each
 is described by its length, the transitions between its characters, how much of
 it dictionary words cover, the path of its document, and the words beside it. A
 random forest, trained on labelled findings, votes whether it is a secret. The
@@ -27,7 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import carried, need, whole
 
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*[0-9])[A-Za-z0-9+/=_-]{16,}+"
+#: Up to two '=' belong to a candidate as its padding at the end; one before it ends a name, as in NAME=value.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])"
+    r"(?:[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/=_-]))?+|[A-Za-z0-9+/_-]{15}+={1,2}(?![A-Za-z0-9+/=_-])|[A-Za-z0-9+/_-]{14}+==(?![A-Za-z0-9+/=_-]))"
+)
 THRESHOLD, TREES, DEPTH, MOST_LABELLED, MADE = 0.5, 24, 6, 20_000, 6000
 BEFORE, AFTER = 64, 32
 
@@ -89,20 +94,41 @@ def made_findings(spark: SparkSession, n: int = MADE) -> DataFrame:
         F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(options))) + 1).cast("int")
     )
     s = F.col("id").cast("string")
-    hex40, hex32, hex64 = F.sha1(s), F.md5(s), F.sha2(s, 256)
-    b64 = F.base64(F.unhex(F.sha2(F.concat(s, F.lit("b")), 256)))
-    letters = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(s, F.lit("a")), 512))), "[^A-Za-z0-9]", "")
-    digits = F.regexp_replace(F.sha2(F.concat(s, F.lit("d")), 512), "[^0-9]", "")
-    uuid = F.concat_ws("-", *[F.substring(hex32, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    prose = pick("p", ["the value was found here ", "und die der ", "que la de ", "of and the then ", "x "])
-    named = pick("w", ["token", "secret", "api_key", "password", "auth_token", "client_secret", "access_key", "apikey", "TOKEN", "private_key"])
-    other = pick("o", ["commit", "sha256", "md5", "checksum", "revision", "etag", "build", "digest", "blob", "hash"])
-    sign = pick("s", [' = "', "='", ": ", " = ", '="', ": '"])
-    dot = pick("e", ["", ".", ",", "!!", "###", '"'])
-    quote = F.when(F.substring(sign, -1, 1).isin('"', "'"), F.concat(F.substring(sign, -1, 1), dot)).otherwise(dot)
     word = lambda salt: pick(salt, DICTIONARY)
-    path = pick("f", ["src/app.py", "config/settings.yml", "tests/test_auth.py", "docs/readme.md", "web", "src0", ""])
-    before, empty = F.concat(prose, named, sign), F.lit("")
+    # parts are columns of their own: written out in every kind they would outgrow a compiled method
+    rows = spark.range(0, n, 1, 1).select(
+        "id", F.sha1(s).alias("hex40"), F.md5(s).alias("hex32"), F.sha2(s, 256).alias("hex64"),
+        F.base64(F.unhex(F.sha2(F.concat(s, F.lit("b")), 256))).alias("b64"),
+        F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(s, F.lit("a")), 512))), "[^A-Za-z0-9]", "").alias("letters"),
+        F.regexp_replace(F.sha2(F.concat(s, F.lit("d")), 512), "[^0-9]", "").alias("digits"),
+        pick("p", ["the value was found here ", "und die der ", "que la de ", "of and the then ", "x "]).alias("prose"),
+        pick("w", ["token", "secret", "api_key", "password", "auth_token", "client_secret", "access_key", "apikey", "TOKEN", "private_key"]).alias("named"),
+        pick("o", ["commit", "sha256", "md5", "checksum", "revision", "etag", "build", "digest", "blob", "hash"]).alias("other"),
+        pick("s", [' = "', "='", ": ", " = ", '="', ': "']).alias("sign"),
+        pick("e", ["", ".", ",", "!!", "###", '"']).alias("dot"),
+        pick("f", ["src/app.py", "config/settings.yml", "tests/test_auth.py", "docs/readme.md", "web", "src0", ""]).alias("path"),
+        pick("n", ["token", "API_KEY", "AWS_SECRET_ACCESS_KEY", "GITHUB_TOKEN", "export DB_PASSWORD", "client_secret", "SECRET_KEY", "auth_token"]).alias("setting"),
+        pick("l", ["https://host.example.com/?", "https://api.host.org/items?page=2&", "http://host.net/a/b?", "GET /list?"]).alias("url"),
+        pick("q", ["token", "access_token", "api_key", "apikey", "client_secret", "auth", "password"]).alias("parameter"),
+        pick("r", ["", "&page=2", "&x=1", " "]).alias("rest"),
+    )
+    hex40, hex32, hex64, b64, letters, digits = (F.col(c) for c in ("hex40", "hex32", "hex64", "b64", "letters", "digits"))
+    prose, named, other, sign, dot, setting, url, parameter, rest = (
+        F.col(c) for c in ("prose", "named", "other", "sign", "dot", "setting", "url", "parameter", "rest")
+    )
+    upper = F.upper(F.substring(letters, 1, 16))
+    forms = [F.concat(F.lit(a), b) for a, b in (
+        ("ghp_", F.substring(letters, 1, 36)), ("AKIA", upper), ("gho_", F.substring(letters, 1, 36)), ("ASIA", upper), ("sk_live_", F.substring(letters, 1, 24)),
+        ("xoxb-", F.concat_ws("-", F.substring(digits, 1, 11), F.substring(letters, 1, 24))), ("AIza", F.substring(letters, 1, 35)), ("glpat-", F.substring(letters, 1, 20)),
+        ("npm_", F.substring(letters, 1, 36)), ("sk-", F.substring(letters, 1, 48)),
+    )]
+    rows = rows.withColumns({
+        "uuid": F.concat_ws("-", *[F.substring(hex32, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]),
+        "quote": F.when(F.substring(sign, -1, 1).isin('"', "'"), F.concat(F.substring(sign, -1, 1), dot)).otherwise(dot),
+        "service": F.element_at(F.array(*forms), (F.pmod(F.xxhash64("id", F.lit("k")), F.lit(len(forms))) + 1).cast("int")),
+        "before": F.concat(prose, named, sign),
+    })
+    uuid, quote, service, before, path, empty = F.col("uuid"), F.col("quote"), F.col("service"), F.col("before"), F.col("path"), F.lit("")
     kinds = [  # (before, candidate, after, label)
         (before, hex40, quote, 1), (before, F.upper(hex40), quote, 1), (before, hex32, quote, 1), (before, hex64, quote, 1),
         (before, F.substring(b64, 1, 28), quote, 1), (before, F.substring(letters, 1, 32), quote, 1),
@@ -119,11 +145,19 @@ def made_findings(spark: SparkSession, n: int = MADE) -> DataFrame:
         (prose, F.concat(word("1"), F.initcap(word("2")), F.initcap(word("3")), F.substring(digits, 1, 1)), dot, 0),
         (before, F.concat(pick("h", ["xxxxxxxxxxxxxxxx", "YOUR_API_KEY_EXAMPLE_", "changeme_changeme_", "example_token_value_"]), F.substring(digits, 1, 3)), quote, 0),
         (F.concat(prose, F.lit("data:image/png;base64,")), b64, empty, 0),
+        # without quotes or spaces: settings, URL parameters, and keys of services that stand alone
+        (F.concat(prose, setting, F.lit("=")), hex40, empty, 1), (F.concat(prose, setting, F.lit("=")), F.substring(b64, 1, 40), dot, 1),
+        (F.concat(prose, setting, F.lit("=")), service, empty, 1), (F.concat(prose, url, parameter, F.lit("=")), hex40, rest, 1),
+        (F.concat(prose, url, parameter, F.lit("=")), F.substring(letters, 1, 32), rest, 1),
+        (prose, service, dot, 1), (pick("b", ["", "key ", "use ", "("]), service, dot, 1),
+        (F.concat(prose, other, F.lit("=")), hex40, dot, 0), (F.concat(prose, url, pick("v", ["v", "id", "hash", "etag", "page"]), F.lit("=")), hex32, rest, 0),
+        (F.concat(prose, F.upper(other), F.lit("=")), hex64, empty, 0), (F.concat(prose, pick("i", ["id", "uuid", "REQUEST_ID", "order"]), F.lit("=")), uuid, rest, 0),
+        (F.concat(prose, setting, F.lit("=")), F.concat(pick("h", ["xxxxxxxxxxxxxxxx", "your_api_key_example_", "changeme_changeme_"]), F.substring(digits, 1, 3)), empty, 0),
         (F.concat(prose, F.lit("usr/lib/")), F.concat_ws("/", F.lit("python3"), word("4"), word("5"), word("6")), empty, 0),
     ]
     kind = F.pmod(F.col("id"), F.lit(len(kinds)))
     col = lambda j: reduce(lambda x, i: F.when(kind == i, kinds[i][j] if j < 3 else F.lit(kinds[i][j])).otherwise(x), range(len(kinds)), F.lit(None))
-    return spark.range(0, n, 1, 1).select(
+    return rows.select(
         col(0).cast("string").alias("before"), col(1).cast("string").alias("candidate"), col(2).cast("string").alias("after"),
         path.alias("path"), col(3).cast("int").alias("label"),
     )
@@ -167,6 +201,8 @@ def with_findings(docs: DataFrame, printed: list[str], threshold: float = THRESH
     """docs(text, path) plus segments (the text between candidates), candidates, and findings:
     an array of (start, length, score, is_secret), start counted in characters from 0."""
     text = F.col("text")
+    # what stands before a candidate may reach into the one before it (a long name that holds a digit)
+    before = lambda i: F.concat(whole(F.get("candidates", i - 1)), F.get("segments", i))
     found = F.when(text.rlike(CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
     d = docs.withColumn("candidates", F.coalesce(found, F.array().cast("array<string>")))
     d = d.withColumn("segments", F.when(F.size("candidates") > 0, F.split("text", CANDIDATE, -1)).otherwise(F.array(whole(text))))
@@ -175,7 +211,7 @@ def with_findings(docs: DataFrame, printed: list[str], threshold: float = THRESH
         lambda c, i: F.struct(*[
             f.alias(f"f{k}")
             for k, f in enumerate(features(
-                c, F.right(F.get("segments", i), F.lit(BEFORE)), F.left(F.get("segments", i + 1), F.lit(AFTER)), F.col("path")
+                c, F.right(before(i), F.lit(BEFORE)), F.left(F.get("segments", i + 1), F.lit(AFTER)), F.col("path")
             ))
         ]),
     )
