@@ -369,39 +369,46 @@ def samples():
     return {"en": [b"the cat sat on the mat and the dog ran", b"this is the other text"], "de": ["über die Straße ging der Mann und".encode(), b"das ist der andere Text"]}
 
 
-def test_code_lengths_against_plain_trees():
-    model = language_id.train(samples())
+def plain_bits(texts, text):
+    """Code length of a text by a plain context tree over the bytes of some texts: no byte merged, no context left out."""
     counts = {}
-    for k, texts in samples().items():
-        for t in texts:
-            s = [0] * 3 + [int(model.symbol[b]) for b in t]
-            for i in range(3, len(s)):
-                for o in range(4):
-                    counts.setdefault((k, tuple(s[i - o : i])), {}).setdefault(s[i], 0)
-                    counts[k, tuple(s[i - o : i])][s[i]] += 1
-    visits = {}
-    for (k, c), n in counts.items():
-        visits[c] = visits.get(c, 0) + sum(n.values())
-
-    def bits(k, context, x):
-        longest = next(o for o in range(3, -1, -1) if o == 0 or visits.get(context[3 - o :], 0) >= language_id.LEAST_VISITS)
-        escaped, seen = 0.0, set()
-        for o in range(longest, -1, -1):
-            n = {s: c for s, c in counts.get((k, context[3 - o :]), {}).items() if s not in seen}
+    for t in texts:
+        s = [None] * 3 + list(t)
+        for i in range(3, len(s)):
+            for o in range(4):
+                own = counts.setdefault(tuple(s[i - o : i]), {})
+                own[s[i]] = own.get(s[i], 0) + 1
+    total, s = 0.0, [None] * 3 + list(text)
+    for i in range(3, len(s)):
+        seen = set()
+        for o in range(3, -1, -1):
+            n = {x: c for x, c in counts.get(tuple(s[i - o : i]), {}).items() if x not in seen}
             if not n:
                 continue
-            total = sum(n.values()) + len(n)
-            if x in n:
-                return escaped - np.log2(n[x] / total)
-            escaped -= np.log2(len(n) / total)
+            whole = sum(n.values()) + len(n)
+            if s[i] in n:
+                total -= np.log2(n[s[i]] / whole)
+                break
+            total -= np.log2(len(n) / whole)
             seen |= set(n)
-        other = np.log2(256 - (model.n_symbols - 2)) if x == 1 else 0
-        return escaped + np.log2(model.n_symbols - len(seen)) + other
+        else:
+            total += np.log2(256 - len(seen))
+    return total
+
+
+@pytest.mark.parametrize("table_bytes", [64 << 20, 200])
+def test_code_lengths_against_plain_trees(table_bytes, monkeypatch):
+    monkeypatch.setattr(language_id, "TABLE_BYTES", table_bytes)
+    model = language_id.train(samples())
+    for text in ("the man", "Straße über", "zzz €", "t", "the " * 9, "\x00\xff", "ße", "der other Text and"):
+        want = [plain_bits(samples()[k], text.encode()) for k in model.languages]
+        assert np.allclose(language_id.code_lengths(model, [text.encode()])[0], want, rtol=1e-5), text
 
-    for text in ("the man", "Straße über", "zzz €", "t", "the " * 9):
-        s = [0] * 3 + [int(model.symbol[b]) for b in text.encode()]
-        want = [sum(bits(k, tuple(s[i - 3 : i]), s[i]) for i in range(3, len(s))) for k in model.languages]
-        assert np.allclose(language_id.code_lengths(model, [text.encode()])[0], want, rtol=1e-5)
+
+def test_equal_code_lengths_go_to_the_first_name():
+    model = language_id.train({"b": [b"the same text"], "a": [b"the same text"], "c": [b"other words here"]})
+    bits = language_id.code_lengths(model, [b"the same text again"])[0]
+    assert model.languages == ["a", "b", "c"] and bits[0] == bits[1] < bits[2] and bits.argmin() == 0
 
 
 def test_long_texts_are_scored_whole(monkeypatch):
@@ -438,6 +445,30 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in language_id.predict(docs(spark, ["abc"], lang=None)).collect()} == {"und"}
 
 
+def words_of(language, i, n):
+    pick = {"en": "the dog of that man and his other cat went over all this land with some old friends", "pt": "não são então coração muito obrigado você também até amanhã pão mãe irmão lá cá fé"}[language].split()
+    return " ".join(pick[int(hashlib.md5(f"{i}.{k}".encode()).hexdigest(), 16) % len(pick)] for k in range(n))
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    rows = [(i, words_of("en", i, 30), "en", "s", 0) for i in range(40)] + [(100 + i, words_of("pt", i, 20_000), "pt", "s", 0) for i in range(20)]
+    got = language_id.predict(spark.createDataFrame(rows, DOC)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {r[0]: r[2] for r in rows}
+
+
+def test_equal_rows_do_not_swell_the_sample(spark):
+    one = docs(spark, [words_of("en", 1, 400)] * 3 + ["x"], ids=[2] * 4).coalesce(1)
+    found = language_id._sample(one.union(docs(spark, [words_of("pt", 1, 400)], lang="pt", ids=[2])), 4000)
+    assert len(found["en"]) <= 2 and len(found["pt"]) == 1
+
+
+def test_texts_of_no_learned_language_go(spark):
+    rows = [(i, words_of("en", i, 200), "en", "s", 0) for i in range(40)] + [(90, "το σκυλί και η γάτα πήγαν μαζί στο σπίτι του παλιού φίλου μας " * 5, None, "s", 0), (91, "", None, "s", 0)]
+    df = spark.createDataFrame(rows, DOC).withColumn("info", F.struct(F.lit(1).alias("a b"), F.lit("x").alias("c:d")))
+    kept = language_id.keep_known(df)
+    assert kept.schema == df.schema and {r["doc_id"] for r in kept.collect()} == set(range(40))
+
+
 # --- 10 mixing --------------------------------------------------------------------------------
 def test_raking_meets_all_marginals(spark):
     rng = np.random.default_rng(4)

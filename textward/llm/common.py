@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,33 +17,47 @@ SPACES = r"[ \t-\r]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir was given.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    A temporary folder is made only for a local master, whose executors are the driver's own; elsewhere a session
+    without a shared folder is an error.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("textward.shared.dir", None)
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("textward.shared.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textward-")
         spark.conf.set("textward.shared.dir", found)
     return found.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, in the JVM."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there."""
+    """Write df as Parquet into the shared folder and read it back: lineage ends there.
+
+    The files go when drop_staged is called, at the latest when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textward/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p, files = hadoop_path(spark, path)
+    files.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(df: DataFrame) -> None:
-    """Delete the files behind a staged table whose rows are no longer needed."""
+    """Delete the files behind a staged table whose rows are no longer needed; other tables are left alone."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/textward/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if re.search(r"/textward/[^/]+-[0-9a-f]{32}$", folder):
+            path, files = hadoop_path(spark, folder)
+            files.delete(path, True)
 
 
 def on_path(spark: SparkSession) -> None:
