@@ -10,13 +10,18 @@ share of pairs exactly at the threshold is met, measured by moving sampled
 vectors to that cosine in random directions. Closer pairs are met more often.
 Every pair that meets is verified in double precision.
 
-A cell is a task; a cell with many members is cut into chunks, each pair of
-chunks a task. Tasks hand on counts and a spanning forest, never pairs. Equal
-vectors are compared once, with their number.
+A vector carries the list of the cells it visits, worked out once. Cells that
+share a first centroid form groups of bounded size; a group is a task, and a
+vector is sent to each group once however many of its cells it visits. A group
+with many members is cut into chunks, each pair of chunks a task. Tasks hand on
+counts and a spanning forest, never pairs. Equal vectors are compared once,
+with their number; they are told by two 64-bit digests, so that joins carry no
+vectors.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite
 components links with nothing and is its own component; vectors of different
 lengths never link; a null vec_id counts as a vector and is never the smallest;
+a component whose ids are all null has a null component_id and no kept row;
 rows that repeat a vec_id are vectors of their own; an empty table gives an
 empty table; extra columns are ignored.
 """
@@ -32,14 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, stage
+from .common import drop_staged, need, stage
 from .components import components
 from .linking import spanning
 
 THRESHOLD, TARGET_RECALL = 0.95, 0.9999
 #: Vectors that the codebooks and the radius are fitted on (at least, and for each centroid), wanted members of a
-#: cell, most centroids of a half; rows of a task, and of a block of pairs within it.
-SAMPLE, PER_CENTROID, CELL_MEMBERS, MOST_CENTROIDS, CHUNK, BLOCK = 4096, 32, 512, 1024, 8192, 1024
+#: cell, most centroids of a half.
+SAMPLE, PER_CENTROID, CELL_MEMBERS, MOST_CENTROIDS = 4096, 32, 256, 1024
+#: Wanted rows of a group, rows of a group beyond which it is cut into chunks, rows of a block of pairs.
+GROUP_ROWS, CHUNK, BLOCK = 16_384, 32_768, 1024
+#: Digests of repeated vectors up to this many are broadcast; more are joined by shuffle.
+BROADCAST_REPEATS = 200_000
 
 
 @dataclass
@@ -48,27 +57,27 @@ class MultiIndex:
     halves: tuple[np.ndarray, np.ndarray]  # centroids of each half
     between: tuple[np.ndarray, np.ndarray]  # distances between the centroids of a half
     radius: float
+    block: np.ndarray  # of each centroid of the second half: cells of one first centroid and one block are a group
+    blocks: int
 
     def cut(self) -> int:
         return (self.dim + 1) // 2
 
     def bounds(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Nearest centroid of each half, and squared lower bounds on the distance to each centroid's region.
-
-        Row by row, so that a vector's bounds are the same wherever they are taken.
-        """
+        """Nearest centroid of each half, and squared lower bounds on the distance to each centroid's region."""
         near, low = [], []
         for part, c, gap in zip((x[:, : self.cut()], x[:, self.cut() :]), self.halves, self.between):
-            d = np.empty((len(x), len(c)))
-            step = max(1, 2_000_000 // max(1, c.size))
-            for k in range(0, len(x), step):
-                d[k : k + step] = ((part[k : k + step, None, :] - c[None]) ** 2).sum(axis=2)
+            d = (part * part).sum(1)[:, None] - 2 * part @ c.T + (c * c).sum(1)[None]
             n = d.argmin(axis=1)
             over = (d - d[np.arange(len(x)), n][:, None]) / np.where(gap[n] > 0, 2 * gap[n], np.inf)
             near.append(n)
             low.append(np.maximum(over, 0) ** 2)
         return near, low
 
+    def groups(self, cells: np.ndarray) -> np.ndarray:
+        k2 = len(self.block)
+        return cells // k2 * self.blocks + self.block[cells % k2]
+
 
 def unit(vectors: pa.Array, dim: int) -> np.ndarray:
     """Rows of length one from an array of lists, padded with zeros to dim."""
@@ -106,7 +115,13 @@ def fit(x: np.ndarray, n: int, threshold: float, target_recall: float, seed: int
     halves = tuple(_codebook(part, k, rng) for part in (x[:, :cut], x[:, cut:]))
     between = tuple(np.sqrt(((c[:, None, :] - c[None]) ** 2).sum(axis=2)) for c in halves)
     full = float(np.sqrt(2 - 2 * threshold)) + 1e-9
-    index = MultiIndex(dim, halves, between, full)
+    # Second centroids that are near each other share a block: in order along the direction in which they differ most.
+    c = halves[1] - halves[1].mean(axis=0)
+    along = c @ np.linalg.svd(c, full_matrices=False)[2][0] if c.size else np.zeros(len(c))
+    blocks = int(min(len(c), max(1, -(-4 * n // (len(halves[0]) * GROUP_ROWS)))))
+    block = np.empty(len(c), np.int64)
+    block[np.argsort(along, kind="stable")] = np.arange(len(c)) * blocks // len(c)
+    index = MultiIndex(dim, halves, between, full, block, blocks)
     if target_recall < 1 and dim > 1:
         some = x[rng.choice(len(x), min(4000, len(x)), replace=False)]
         away = rng.normal(size=some.shape)
@@ -138,85 +153,130 @@ def visited(low1: np.ndarray, low2: np.ndarray, most: float) -> list[tuple[int,
     return out
 
 
-def _members(classes: DataFrame, shared, occupied=None) -> DataFrame:
-    """A row for each cell that a class visits; the first is its own."""
-    names = ["cell", "own", "cid", "m", "size", "embedding"]
+def _sizes(classes: DataFrame, shared) -> dict[int, int]:
+    """Rows that each group will get: a number for each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: MultiIndex = shared.value
+        total = np.zeros(len(index.halves[0]) * index.blocks, np.int64)
+        order = np.argsort(index.block, kind="stable")
+        first = np.searchsorted(index.block[order], np.arange(index.blocks))
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                _, (l1, l2) = index.bounds(unit(batch.column(0).slice(s, 256), index.dim))
+                nearest = np.minimum.reduceat(l2[:, order], first, axis=1)
+                for b in range(index.blocks):
+                    total[b :: index.blocks] += (l1 + nearest[:, b : b + 1] <= index.radius**2).sum(axis=0)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["grp", "n"])
+
+    counts = classes.select("embedding").mapInArrow(run, "grp long, n long").groupBy("grp").agg(F.sum("n").alias("n"))
+    return {r["grp"]: r["n"] for r in counts.where(F.col("n") > CHUNK).collect()}  # only the large groups
+
+
+def _members(classes: DataFrame, shared, large: dict[int, int]) -> DataFrame:
+    """A row for each group (and pair of chunks of it) that a class visits, with the cells that it visits, its own first."""
+    names = ["grp", "ca", "cb", "chunk", "cid", "m", "size", "cells", "embedding"]
+    chunks = {g: -(-n // CHUNK) for g, n in large.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: MultiIndex = shared.value
-        there = occupied.value if occupied is not None else None
-        k2 = len(index.halves[1])
+        k2, most = len(index.block), index.radius**2
         for batch in batches:
             for s in range(0, batch.num_rows, 1024):
                 b = batch.slice(s, 1024)
                 (n1, n2), (l1, l2) = index.bounds(unit(b.column(3), index.dim))
-                most = index.radius**2
-                rows, cells = [], []
                 reach = ((l1 <= most).sum(axis=1) > 1) | ((l2 <= most).sum(axis=1) > 1)
+                own, cids = (n1 * k2 + n2).tolist(), b.column(0).to_pylist()
+                cells, ends, rows, grp, ca, cb, chunk = [], [0], [], [], [], [], []
                 for i in range(b.num_rows):
-                    home = int(n1[i]) * k2 + int(n2[i])
-                    rows.append(i)
-                    cells.append(home)
-                    if there is not None and reach[i]:
-                        for p, q in visited(l1[i], l2[i], most):
-                            if (c := p * k2 + q) != home and c in there:
-                                rows.append(i)
-                                cells.append(c)
+                    mine = [own[i]]
+                    if reach[i]:
+                        mine += [c for p, q in visited(l1[i], l2[i], most) if (c := p * k2 + q) != own[i]]
+                    cells += mine
+                    ends.append(len(cells))
+                    for g in set(index.groups(np.array(mine)).tolist()):
+                        k = chunks.get(g, 1)
+                        c = (cids[i] * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 20
+                        c %= k
+                        for o in range(k):
+                            rows.append(i)
+                            grp.append(g)
+                            ca.append(min(c, o))
+                            cb.append(max(c, o))
+                            chunk.append(c)
                 take = pa.array(rows)
-                own = n1.astype(np.int64) * k2 + n2
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells, pa.int64()), pa.array(own[rows]), *[b.column(j).take(take) for j in range(4)]], names
+                    [pa.array(grp, pa.int64()), *[pa.array(x, pa.int32()) for x in (ca, cb, chunk)], *[b.column(j).take(take) for j in range(3)],
+                     lists.take(take), b.column(3).take(take)], names,
                 )
 
     kind = classes.schema["embedding"].dataType.simpleString()
     return classes.select("cid", "m", F.size("embedding").alias("size"), "embedding").mapInArrow(
-        run, f"cell long, own long, cid long, m long, size int, embedding {kind}"
+        run, f"grp long, ca int, cb int, chunk int, cid long, m long, size int, cells array<int>, embedding {kind}"
     )
 
 
 def _compare(shared, threshold: float):
     def run(t: pa.Table) -> pa.Table:
         index: MultiIndex = shared.value
-        cell, ca, cb = (t.column(n)[0].as_py() for n in ("cell", "ca", "cb"))
-        own, cid, m, size, chunk = (t.column(n).to_numpy() for n in ("own", "cid", "m", "size", "chunk"))
-        order = np.argsort(cid, kind="stable")
-        own, cid, m, size, chunk = own[order], cid[order], m[order], size[order], chunk[order]
-        x = unit(t.column("embedding").combine_chunks().take(pa.array(order)), index.dim)
-        (_, _), (l1, l2) = index.bounds(x)
-        k2 = len(index.halves[1])
+        grp, ca, cb = (t.column(n)[0].as_py() for n in ("grp", "ca", "cb"))
+        t = t.sort_by("cid")
+        cid, m, size, chunk = (t.column(n).to_numpy() for n in ("cid", "m", "size", "chunk"))
+        x = unit(t.column("embedding").combine_chunks(), index.dim)
+        lists = t.column("cells").combine_chunks()
+        cells, n_cells = lists.flatten().to_numpy().astype(np.int64), lists.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(x)), n_cells)
+        own = cells[np.cumsum(n_cells) - n_cells]
+        n_grid = len(index.halves[0]) * len(index.block)
+        visits = np.sort(row * n_grid + cells)  # (row, cell) as one number
+
+        def comes(rows: np.ndarray, to: np.ndarray) -> np.ndarray:
+            """Whether a row visits a cell."""
+            code = rows * n_grid + to
+            return visits[np.minimum(np.searchsorted(visits, code), len(visits) - 1)] == code
+
+        here = index.groups(cells) == grp
+        cell, member = cells[here], row[here]
+        order = np.lexsort([member, cell])
+        cell, member = cell[order], member[order]
         counts, ea, eb = np.zeros(len(x), np.int64), [], []
-        left = np.flatnonzero(chunk == ca)
-        right = left if ca == cb else np.flatnonzero(chunk == cb)
-
-        def visits(rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
-            return l1[rows][:, cells // k2] + l2[rows][:, cells % k2] <= index.radius**2
-
-        # Residents against all, and visitors against residents; visitors of one cell are not compared here.
-        home = own == cell
-        pairs = [(left[home[left]], right)]
-        if ca != cb:
-            pairs.append((left[~home[left]], right[home[right]]))
-        for some, others in pairs:
-            for i in range(0, len(some), BLOCK):
-                for j in range(0, len(others), BLOCK):
-                    a, b = some[i : i + BLOCK], others[j : j + BLOCK]
-                    near = (x[a] @ x[b].T >= threshold) & (size[a][:, None] == size[b][None, :])
+
+        def meet(a: np.ndarray, b: np.ndarray, c: int, same: bool, guests: bool) -> None:
+            """Compare rows a, which live in cell c, with rows b: residents (the same ones, or others) or guests."""
+            for i in range(0, len(a), BLOCK):
+                for j in range(i if same else 0, len(b), BLOCK):
+                    u, v = a[i : i + BLOCK], b[j : j + BLOCK]
+                    near = (x[u] @ x[v].T >= threshold) & (size[u][:, None] == size[v][None, :])
+                    if same and i == j:
+                        near = np.triu(near, 1)
                     if not near.any():
                         continue
-                    home_a, home_b = home[a][:, None], home[b][None, :]
-                    # A pair from two cells is counted where one visits the other: if both do, in the cell of larger number.
-                    a_comes = ~home_a & home_b & (~visits(b, own[a]).T | (own[a] < cell)[:, None])
-                    b_comes = home_a & ~home_b & (~visits(a, own[b]) | (own[b] < cell)[None, :])
-                    near &= (home_a & home_b) | a_comes | b_comes
-                    if ca == cb:
-                        near &= a[:, None] != b[None, :]
-                    counts[a] += near.astype(np.int64) @ m[b]
-                    # Within one chunk a pair of residents comes twice, once from either side.
-                    back = near & ~home_b if ca == cb else near
-                    counts[b] += back.T.astype(np.int64) @ m[a]
-                    p, q = spanning(cid[a], cid[b], near)
+                    if guests:
+                        # If each visits the other's cell, the pair counts in the cell of larger number.
+                        p, q = np.nonzero(near & (own[v] > c)[None, :])
+                        twice = comes(u[p], own[v[q]])
+                        near[p[twice], q[twice]] = False
+                    counts[u] += near.astype(np.int64) @ m[v]
+                    counts[v] += near.T.astype(np.int64) @ m[u]
+                    p, q = spanning(cid[u], cid[v], near)
                     ea.append(p)
                     eb.append(q)
+
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)]):
+            c, rows = int(cell[s]), member[s:e]
+            home = own[rows] == c
+            live, come = rows[home], rows[~home]
+            if ca == cb:
+                meet(live, live, c, True, False)
+                meet(live, come, c, False, True)
+            else:
+                left, right, first, second = live[chunk[live] == ca], live[chunk[live] == cb], come[chunk[come] == ca], come[chunk[come] == cb]
+                meet(left, right, c, False, False)
+                meet(left, second, c, False, True)
+                meet(right, first, c, False, True)
         some = counts > 0
         a = np.concatenate([cid[some], *ea])
         b = np.concatenate([cid[some], *eb])
@@ -226,6 +286,27 @@ def _compare(shared, threshold: float):
     return run
 
 
+def _classes(keyed: DataFrame) -> DataFrame:
+    """(cid, k1, k2, m, least, embedding) of each different vector of keyed(vec_id, k1, k2, embedding).
+
+    Only digests are shuffled to find the vectors that repeat, and only those are grouped, unless there are too
+    many to broadcast.
+    """
+    one = [F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("least")]
+    repeats = keyed.groupBy("k1", "k2").agg(*one).where("m > 1")
+    repeats = stage(repeats, "repeats")
+    if repeats.count() > BROADCAST_REPEATS:
+        rows = keyed.groupBy("k1", "k2", "embedding").agg(*one)
+    else:
+        marked = keyed.join(F.broadcast(repeats), ["k1", "k2"], "left")
+        single = marked.where("m is null").select("k1", "k2", "embedding", F.lit(1).cast("long").alias("m"), F.col("vec_id").alias("least"))
+        several = marked.where("m is not null").groupBy("k1", "k2", "embedding", "m", "least").agg(F.lit(1).alias("_")).drop("_")
+        rows = single.unionByName(several)
+    out = stage(rows.withColumn("cid", F.monotonically_increasing_id()), "vectors")
+    drop_staged(repeats)
+    return out
+
+
 def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -235,42 +316,38 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, target_rec
         & F.exists("embedding", lambda x: x != 0),
         F.lit(False),
     )
-    rows = rows.withColumn("sound", sound)
-    classes = stage(
-        rows.where("sound").groupBy("embedding").agg(F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("least"))
-        .withColumn("cid", F.monotonically_increasing_id()),
-        "vectors",
-    )
+    # The digests of an unsound vector are null.
+    rows = rows.withColumns({"k1": F.when(sound, F.xxhash64("embedding")), "k2": F.when(sound, F.xxhash64(F.lit(1), "embedding"))})
+    classes = _classes(rows.where("k1 is not null"))
     n, dim = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if not n:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+        return alone
     most = max(SAMPLE, PER_CENTROID * centroids(n))
     wanted = min(1.0, most / n)
-    picked = classes.where(F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(1_000_000)) < F.lit(wanted * 1_000_000)).select("embedding")
+    picked = classes.where(F.pmod(F.xxhash64("k1", F.lit(3)), F.lit(1_000_000)) < F.lit(wanted * 1_000_000)).select("embedding")
     listed = picked.limit(2 * most).toArrow() if wanted < 1 else classes.select("embedding").limit(most).toArrow()
     if not listed.num_rows:
         listed = classes.select("embedding").limit(100).toArrow()
     sample = unit(listed.column(0).combine_chunks(), dim)
     index = fit(sample, n, threshold, target_recall)
     shared = spark.sparkContext.broadcast(index)  # two codebooks of at most MOST_CENTROIDS rows
-    cells = _members(classes, shared).groupBy("cell").count().collect()  # at most MOST_CENTROIDS^2 numbers
-    occupied = spark.sparkContext.broadcast(frozenset(r["cell"] for r in cells))
-    members = stage(_members(classes, shared, occupied), "members")
-    sizes = members.groupBy("cell").count().withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count")
-    members = members.join(F.broadcast(sizes), "cell")  # a row for each cell of the grid at most
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("ca"), F.greatest("chunk", o).alias("cb")))
-    members = members.withColumn("c", F.explode(others)).select("cell", "c.ca", "c.cb", "chunk", "own", "cid", "m", "size", "embedding")
-    found = stage(members.groupBy("cell", "ca", "cb").applyInArrow(_compare(shared, threshold), "a long, b long, n long"), "links")
+    members = _members(classes, shared, _sizes(classes, shared))
+    found = stage(members.groupBy("grp", "ca", "cb").applyInArrow(_compare(shared, threshold), "a long, b long, n long"), "links")
     counts = found.where("n > 0").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
     joined = components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "cid")
-    of = classes.join(counts, "cid", "left").join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    of = stage(of.select("embedding", "m", "least", "component", F.coalesce("n", F.lit(0)).alias("n")), "classes")
+    # Only vectors that link or repeat take part from here on; all others stand alone.
+    of = classes.select("cid", "k1", "k2", "m", "least").join(counts, "cid", "left").where("n is not null or m > 1").join(joined, "cid", "left")
+    of = stage(of.select("k1", "k2", "m", "least", F.coalesce("component", "cid").alias("component"), F.coalesce("n", F.lit(0)).alias("n")), "linked")
+    for t in (found, classes):
+        drop_staged(t)
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "component").select("embedding", (F.col("n") + F.col("m") - 1).alias("n_links"), "component_id")
-    linked = rows.where("sound").join(of, "embedding").select("vec_id", "n_links", "component_id")
-    alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    of = of.join(least, "component").select("k1", "k2", (F.col("n") + F.col("m") - 1).alias("n_links"), "component_id", F.lit(True).alias("links"))
+    out = rows.select("vec_id", "k1", "k2").join(of, ["k1", "k2"], "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("links"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
+    )
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 #: Brute force over all pairs, and the reachable minimum by a recursive query.
