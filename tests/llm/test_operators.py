@@ -232,18 +232,50 @@ def test_sharding(spark):
     assert sharding.shard_documents(docs(spark, [])).count() == 0
 
 
-def test_rebalance(spark):
+def test_rebalance(spark, tmp_path):
     size = {s: (s * 7919) % 1000 for s in range(512)}
-    first = sharding.deal(size, 8, 512)
-    grown = sharding.rebalance(first, size, 9)
+    path = f"file://{tmp_path}/map"
+    assert sharding.load_map(spark, path) is None
+    version, first = sharding.current_map(spark, path, size, 8, 512)
+    assert version == 2 and sharding.current_map(spark, path, size, 8, 512) == (2, first)
+    version, grown = sharding.current_map(spark, path, size, 9, 512)
     moved = [(a, b) for a, b in zip(first, grown) if a != b]
     loads = np.bincount(grown, [size[s] for s in range(512)])
-    assert len(moved) < 512 // 4 and sum(b == 8 for _, b in moved) > 0.8 * len(moved) and loads.max() < 1.03 * loads.mean()
-    shrunk = sharding.rebalance(grown, size, 7)
+    assert version == 3 and len(moved) < 512 // 4 and sum(b == 8 for _, b in moved) > 0.8 * len(moved) and loads.max() < 1.03 * loads.mean()
+    version, shrunk = sharding.current_map(spark, path, size, 7, 512)
     loads = np.bincount(shrunk, [size[s] for s in range(512)])
-    assert max(shrunk) == 6 and loads.max() < 1.02 * loads.mean()
-    table = sharding.slot_map(spark, [first, grown])
-    assert table.groupBy("version").count().orderBy("version").collect()[1][1] == 512
+    assert version == 4 and max(shrunk) == 6 and loads.max() < 1.02 * loads.mean() and sharding.load_map(spark, path) == (4, shrunk)
+    with pytest.raises(ValueError):
+        sharding.current_map(spark, path, size, 7, 256)
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_hot_ids_spread_over_all_shards(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(sharding, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(sharding, "RUN", 1000)
+    null = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("some text").alias("text"))
+    same = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 500).alias("text"))
+    other = spark.range(100, 20_100).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"))
+    df = null.union(same).union(other)
+    rows = sharding.shard_documents(df).collect()
+    loads, n = np.bincount([r["shard"] for r in rows], [r["size"] for r in rows]), np.bincount([r["shard"] for r in rows])
+    assert len(rows) == 120_000 and loads.max() < 1.02 * loads.mean() and np.bincount([r["virtual_slot"] for r in rows]).max() < 100
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(n[k])) for k in range(16))
+    # However the rows are dealt, the same slots come out.
+    again = sharding.records(df.repartition(7, F.rand(3))).groupBy("virtual_slot").count().collect()
+    assert {r[0]: r[1] for r in again} == {k: int(v) for k, v in enumerate(np.bincount([r["virtual_slot"] for r in rows])) if v}
+
+
+def test_sharding_sql_with_repeated_rows(spark):
+    import duckdb
+
+    df = docs(spark, ["a", "b", "b", None, "", "c" * 90, "a", "a"], ids=[1, 1, 1, None, None, 3, 4, 4])
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64"}))
+    want = con.execute(sharding.SHARD_SQL)
+    names = [x[0] for x in want.description]
+    got = sharding.shard_documents(df).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
 
 
 # --- 6 SimHash -----------------------------------------------------------------------------

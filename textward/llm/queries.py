@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, embedding_dedup, language_id, mixing, packing, quality_rules, secret_scan, sharding, simhash_dedup, warc
-from .common import table
+from .common import shared_dir, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,9 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+    # The map of a table has a place of its own, where the next run finds it.
+    name = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), map_path=f"{shared_dir(spark)}/slot-maps/{name}")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
