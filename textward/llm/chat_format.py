@@ -10,7 +10,8 @@ back undoes it exactly.
 
 Defined cases: null roles and texts are empty; rows without a conv_id are
 conversations of one turn each; turns of equal number are ordered by role, then
-text; a null turn comes first; an empty table gives an empty table; extra
+text; a null turn comes first; a conversation, its longest example included, is
+one row, so turns of any length are whole; an empty table gives an empty table; extra
 columns are ignored.
 """
 
@@ -40,23 +41,31 @@ def unescape(text: Column) -> Column:
 
 
 def expand(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
-    """turns(conv_id, turn, role, text) to examples: conv_id, example (from 0), formatted,
-    loss_start and loss_length (characters of formatted; length 0: context only), is_whole
+    """turns(conv_id, turn, role, text) to examples: conv_id, alone (tells conversations without a conv_id
+    apart), example (from 0), formatted, loss_start and loss_length (characters of formatted; length 0: context only), is_whole
     (the example holds all turns)."""
+    return _expand(_turns(turns), trained_role)
+
+
+def _turns(turns: DataFrame) -> DataFrame:
+    """conv_id, alone, turn, role, text; alone keeps rows without a conv_id apart."""
     rows = need(turns, "conv_id", "turn", "role", "text").withColumns({"role": whole(F.col("role")), "text": whole(F.col("text"))})
-    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
-    convs = rows.withColumn("alone", alone).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+
+
+def _expand(rows: DataFrame, trained_role: str) -> DataFrame:
+    convs = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     convs = convs.select(
-        "conv_id",
+        "conv_id", "alone",
         F.transform("turns", lambda t: F.concat(F.lit(START), escape(t["role"]), F.lit(SEPARATOR), escape(t["text"]), F.lit(END))).alias("written"),
         F.transform("turns", lambda t: F.when(t["role"] == trained_role, F.length(escape(t["text"]))).otherwise(F.lit(-1))).alias("reply"),
     )
     n = F.size("written")
     ends = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get("reply", i) >= 0) | (i == n - 1))
     return convs.select(
-        "conv_id", n.alias("n"), "written", "reply", F.posexplode(ends).alias("example", "last")
+        "conv_id", "alone", n.alias("n"), "written", "reply", F.posexplode(ends).alias("example", "last")
     ).select(
-        "conv_id", "example",
+        "conv_id", "alone", "example",
         F.array_join(F.slice("written", 1, F.col("last") + 1), "").alias("formatted"),
         F.greatest(F.get("reply", F.col("last")), F.lit(0)).alias("loss_length"),
         (F.col("last") == F.col("n") - 1).alias("is_whole"),
@@ -67,14 +76,12 @@ def expand(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
 
 def read_back(examples: DataFrame) -> DataFrame:
     """What the examples of each conversation hold: conv_id, n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars (over all its examples)."""
+    loss_sha256, formatted_chars (over all its examples). They lie together already, so nothing is shuffled."""
     between = lambda a, b: F.regexp_extract_all("formatted", F.lit(f"(?s){_quoted(a)}(.*?){_quoted(b)}"), F.lit(1))
     roles, texts = between(START, SEPARATOR), between(SEPARATOR, END)
     told = F.array_join(F.zip_with(roles, texts, lambda r, t: F.concat(unescape(r), F.lit("\n"), unescape(t), F.lit("\n"))), "")
     parts = examples.select(
-        "conv_id",
-        F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"),
-        "example",
+        "conv_id", "alone", "example",
         F.length("formatted").cast("long").alias("chars"),
         F.when(F.col("is_whole"), F.struct(F.size(roles).cast("long").alias("n"), F.sha2(told, 256).alias("sha"))).alias("whole"),
         unescape(F.substring("formatted", F.col("loss_start") + 1, F.col("loss_length"))).alias("loss"),
@@ -113,8 +120,8 @@ CHAT_SQL = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
     CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', NULL
-  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', NULL),
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', -7
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', -7),
 l AS (
   SELECT *, length({_escaped_sql('role')}) + length({_escaped_sql('text')}) + {len(START) + len(SEPARATOR) + len(END)} AS n FROM t),
 k AS (
@@ -130,6 +137,6 @@ FROM k GROUP BY conv_id, alone
 
 
 def chat_report(turns: DataFrame) -> DataFrame:
-    """Every conversation, and conversation -7, formatted and read back."""
-    rows = need(turns, "conv_id", "turn", "role", "text")
-    return read_back(expand(rows.union(probe_conversation(turns.sparkSession))))
+    """Every conversation, and conversation -7, formatted and read back. A conversation -7 of the table is another."""
+    probe = _turns(probe_conversation(turns.sparkSession)).withColumn("alone", F.lit(-7).cast("long"))
+    return read_back(_expand(_turns(turns).union(probe), "assistant"))
