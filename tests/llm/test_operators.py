@@ -351,6 +351,18 @@ def test_chat_round_trip(spark):
     assert chat_format.expand(df.where("false")).count() == 0
 
 
+def test_chat_hot_and_long_conversations(spark):
+    rows = [(-7, 0, "user", "mine"), (-7, 1, "assistant", "x" * 3_000_000)] + [(5, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(800)]
+    got = chat_format.chat_report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["conv_id"], r["n_turns"], r["loss_chars"]) for r in got) == [(-7, 2, 21), (-7, 2, 3_000_000), (5, 800, sum(len(f"turn {i}") for i in range(1, 800, 2)))]
+
+
+def test_chat_reads_back_without_a_second_shuffle(spark):
+    plan = chat_format.chat_report(spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string"))
+    plan.collect()
+    assert plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
 # --- 8 packing --------------------------------------------------------------------------------
 def test_first_fit_decreasing():
     rng = np.random.default_rng(2)
@@ -396,6 +408,30 @@ def test_packing(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_equal_rows_are_dealt_over_all_groups(spark):
+    df = spark.range(0, 100_000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("some equal text here " * 10).alias("text"))
+    rows = packing.pack(df, group_pieces=2000, length=512).select("sequence_id", "length").collect()
+    groups = np.bincount([r["sequence_id"] >> 32 for r in rows])
+    used = {r["sequence_id"] for r in rows}
+    assert len(rows) == 100_000 and len(groups) == 50 and 1500 < groups.min() <= groups.max() < 2500, len(groups)
+    assert sum(r["length"] for r in rows) / (512 * len(used)) > 0.9
+    whole = packing.pack(docs(spark, ["word " * 20_000] * 6), length=256).where("length = 256").select("sequence_id").collect()
+    assert len({r[0] for r in whole}) == len(whole) > 100
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "REMEMBERED", 1 << 20)
+    tok, mine = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), packing.WordTokenizer()
+    texts = [" ".join(f"w{i}x{k}" * (1 + k % 7) for k in range(300)) + " the end." for i in range(40)] + ["z" * 50_000 + " a"] * 2
+    for t in texts:
+        assert mine.ids([t])[0] == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        held = sum(2 * len(w) + len(ids) + packing._EACH for d in (mine.known, mine.before) for w, ids in d.items())
+        assert held < (1 << 20) + 20 * len(t) + 3 * packing._EACH * 300
+
+
 # --- 9 language -------------------------------------------------------------------------------
 def samples():
     return {"en": [b"the cat sat on the mat and the dog ran", b"this is the other text"], "de": ["über die Straße ging der Mann und".encode(), b"das ist der andere Text"]}

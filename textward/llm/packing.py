@@ -1,16 +1,17 @@
 """First-fit-decreasing packing with a tournament tree, in randomised groups.
 
 Documents are tokenised and cut: whole sequences first, then one remainder.
-Whole sequences fill a bin each. Remainders are dealt at random (by a hash of
-their document and place) to groups of about `group_pieces`; each group is
-packed alone, largest remainder first, into the first bin with room, which a
-tournament tree over the bins' free room finds in logarithmic time. Groups are
-tasks of bounded size, so no step sees all lengths.
+Whole sequences fill a bin each and are named where they lie, without a
+shuffle. Remainders are dealt at random (by a hash of their place in the staged
+files, so rows that repeat are dealt like any others) to groups of about
+`group_pieces`; each group is packed alone, largest remainder first, into the
+first bin with room, which a tournament tree over the bins' free room finds in
+logarithmic time. Groups are tasks of bounded size, so no step sees all lengths.
 
 Defined cases: a null or empty text is the single id that ends a document; an
 empty table gives an empty table; repeated rows are packed as they come (each
-id of each row lies in one piece); a null doc_id is packed and stays null;
-extra columns are ignored.
+id of each row lies in one piece); a null doc_id is packed and stays null; a
+text of any length is tokenised whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import need, stage
 
 VOCABULARY, END_ID, LENGTH, GROUP_PIECES = "word_bpe_49k.json", 2, 4096, 8192
-#: Words whose ids a worker remembers; beyond them it starts anew.
-REMEMBERED = 400_000
+#: Sequences that a group fills at least (there is one group if there are fewer).
+GROUP_SEQUENCES = 64
+#: Bytes that a worker may spend on remembered words and their ids (besides those of the text in hand).
+REMEMBERED = 96 << 20
+#: What a remembered word costs besides its characters and ids.
+_EACH = 200
 #: str.split cuts at these, the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _MARK = "|"
@@ -60,6 +65,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # what was known when `known` last grew full
+        self.held = 0  # bytes of what was learned since then
         self.cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         mark = self.direct(_MARK)
@@ -77,6 +83,7 @@ class WordTokenizer:
         return ids.tobytes()
 
     def learn(self, words: list[str]) -> None:
+        self.held += 3 * _EACH * len(words) + 4 * sum(map(len, words))
         rest = []
         for w in words:
             if (ids := self.before.get(w)) is not None:
@@ -111,17 +118,18 @@ class WordTokenizer:
                 start = end + 4
 
     def forget(self) -> None:
-        if len(self.known) > REMEMBERED:
-            self.before, self.known = self.known, {}
-        for known in (self.cores, self.tails):
-            if len(known) > REMEMBERED:
-                known.clear()
+        """Keep half of what may be remembered: what was learned last."""
+        if self.held > REMEMBERED // 2:
+            self.before, self.known, self.held = self.known, {}, 0
+            self.cores.clear()
+            self.tails.clear()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Of each text."""
-        self.forget()
-        known, get, out = self.known, self.known.__getitem__, []
+        out = []
         for t in texts:
+            self.forget()
+            known, get = self.known, self.known.__getitem__
             if _ODD.search(t):
                 out.append(self.direct(t))
                 continue
@@ -202,13 +210,18 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, [ids,] sequence_id, offset.
 
-    sequence_id holds the group in its upper and the bin in its lower half;
-    whole sequences have groups of their own.
+    sequence_id holds the group in its upper and the bin in its lower half; those of whole sequences have
+    bit 62 and hold the piece's file and row.
     """
     pieces = stage(_pieces(docs, tokenizer_path, length, end_id, with_ids), "pieces")
-    part = pieces.where(F.col("length") < length)
-    groups = max(1, -(-part.count() // group_pieces))
-    part = part.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    # A piece is named by its place: the number of its file (of the task that wrote it) and its row there.
+    file = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("long")
+    placed = pieces.select(*pieces.columns, file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    part = placed.where(F.col("length") < length)
+    n, tokens = part.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    # Each group may leave one sequence unfilled, so a group has that many sequences at least.
+    groups = max(1, min(-(-n // group_pieces), tokens // (GROUP_SEQUENCES * length)))
+    part = part.withColumn("grp", F.pmod(F.xxhash64("_file", "_row", F.lit(seed)), F.lit(groups))).drop("_file", "_row")
 
     def deal(it: Iterator[pa.Table]) -> pa.Table:
         t = it
@@ -221,9 +234,6 @@ def pack(
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
     packed = part.groupBy("grp").applyInArrow(deal, schema)
-    full = pieces.where(F.col("length") == length)
-    # A whole sequence is named by its document and place: a rank within its hash slot.
-    slot = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups * 8))
-    rank = F.row_number().over(Window.partitionBy("slot").orderBy("doc_id", "start", "ids_crc32"))
-    full = full.withColumn("slot", slot).withColumn("sequence_id", F.shiftleft(F.col("slot") + groups, 32) + rank).drop("slot")
-    return packed.unionByName(full.withColumn("offset", F.lit(0).cast("long")))
+    whole = placed.where(F.col("length") == length)
+    named = F.lit(1 << 62) + F.shiftleft("_file", 36) + F.col("_row")
+    return packed.unionByName(whole.withColumns({"sequence_id": named, "offset": F.lit(0).cast("long")}).drop("_file", "_row"))
