@@ -298,7 +298,7 @@ def test_simhash_links(spark, chunk, monkeypatch):
     base = [int(x) for x in rng.integers(0, 2**63, 150)]
     hot = [base[0] ^ sum(1 << int(b) for b in set(rng.integers(20, 64, rng.integers(1, 6)))) for _ in range(120)]
     prints = sorted({x - (1 << 64) if x >> 63 else x for x in base + hot + [b ^ 3 for b in base[:20]] + [b ^ (7 << 61) for b in base[:20]] + [b ^ 0x1010101010 for b in base[:20]] + [0]})
-    found = simhash_dedup.links(spark.createDataFrame([(x,) for x in prints], "fp long")).collect()
+    found = simhash_dedup.links(spark.createDataFrame([(x, 0, 0) for x in prints], "fp long, more1 long, more2 long")).collect()
     u = np.array(prints).view(np.uint64)
     near = np.bitwise_count(u[:, None] ^ u[None, :]) <= 4
     at = {x: i for i, x in enumerate(prints)}
@@ -311,7 +311,7 @@ def test_thresholds_satisfy_the_pigeonhole_principle():
     rng = np.random.default_rng(0)
     bits = rng.integers(0, 2, (500, 64)).astype(float)
     for n in (100, 10**6, 10**10):
-        p = simhash_dedup.plan(n, bits.T @ bits * n / 500)
+        p = simhash_dedup.plan(n, bits.T @ bits * n / 500, sample=np.packbits(bits.astype(bool), axis=1, bitorder="little").view(np.uint64)[:, 0])
         assert sum(t + 1 for _, t in p) == 5 and len({b for g, _ in p for b in g}) == sum(len(g) for g, _ in p)
 
 
@@ -322,10 +322,38 @@ def test_simhash_documents(spark):
     assert got[5] == got[4] and got[5][1] == 4 and got[9] == ("0" * 16, 8) and got[8][1] == 8 and got[None][1] == 2 and got[1] == (f"{slow_print('x'):016x}", 1)
     kept = simhash_dedup.one_of_each(clashing(df).union(clashing(df)))
     assert kept.columns == clashing(df).columns
-    assert sorted((r[0] is None, r[0] or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 8), (True, 0), (True, 0)]
+    assert sorted(r[0] for r in kept.collect()) == [1, 2, 3, 4, 8]
     assert simhash_dedup.simhash_report(docs(spark, [])).count() == 0
     two = docs(spark, ["the same words in this text", "quite another text is this", "The same words in this TEXT"], ids=[5, 5, 5])
     assert len({r["text"].lower() for r in simhash_dedup.one_of_each(two).collect()}) == simhash_dedup.one_of_each(two).count() == 2
+    none = docs(spark, ["equal texts without an id"] * 50 + ["another one", None, ""], ids=[None] * 52 + [3])
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in simhash_dedup.one_of_each(none).collect()))) == sorted(
+        map(repr, [(None, "equal texts without an id"), (None, "another one"), (3, "")]))
+
+
+def test_estimate_knows_what_bits_have_in_common():
+    rng = np.random.default_rng(1)
+    sample = rng.integers(0, 2**63, 800).astype(np.uint64) & ~np.uint64(0xFF)
+    sample |= np.where(rng.random(800) < 0.5, np.uint64(0xFF), np.uint64(0))  # eight bits that go together
+    alone, counted = (simhash_dedup._near(np.full(64, 0.5), list(range(8)), 1, x)[0] for x in (sample[:0], sample))
+    assert abs(alone - 2**-8) < 1e-9 and abs(counted - 0.5) < 0.02
+
+
+def edited(i, share):
+    """A text, and a copy of it in which a share of the words is changed."""
+    w = [f"w{int(hashlib.md5(f'{i}.{k}'.encode()).hexdigest(), 16) % 5000}" for k in range(150)]
+    other = [x if int(hashlib.md5(f"e{i}.{k}".encode()).hexdigest(), 16) % 1000 >= 1000 * share else x + "x" for k, x in enumerate(w)]
+    return " ".join(w), " ".join(other)
+
+
+def test_edited_copies_go_and_strangers_stay(spark):
+    pairs = [edited(i, 0.015) for i in range(300)]
+    jaccard = lambda a, b: (lambda x, y: len(x & y) / len(x | y))(*[{tuple(t.split()[i : i + 5]) for i in range(146)} for t in (a, b)])
+    near = [i for i, p in enumerate(pairs) if p[0] != p[1] and jaccard(*p) >= 0.8]
+    kept = {r["doc_id"] for r in simhash_dedup.one_of_each(docs(spark, [t for p in pairs for t in p])).collect()}
+    assert {2 * i for i in range(300)} <= kept and sum(2 * i + 1 not in kept for i in near) > 0.75 * len(near) > 100  # most of them at 0.8 to 0.85
+    alone = docs(spark, [edited(1000 + i, 0)[0] for i in range(400)])
+    assert simhash_dedup.one_of_each(alone).count() == 400
 
 
 # --- 7 chat ---------------------------------------------------------------------------------

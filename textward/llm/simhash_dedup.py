@@ -5,16 +5,23 @@ A text's fingerprint has 64 bits, each the majority of the XXH64 bits of its
 one of m partitions. If the thresholds t_i of the partitions satisfy
 sum(t_i + 1) = max_bits + 1, two fingerprints within max_bits bits are within
 t_i bits in at least one partition; a dynamic programme picks m and unequal
-thresholds for the least estimated probes and candidates. Fingerprints meet at
-the signatures they probe, are verified by their whole Hamming distance, and a
-task hands on a spanning forest of the links, never their pairs. A signature
-shared by very many fingerprints is cut into chunks, and every pair of chunks
-is a task of its own.
+thresholds for the least estimated probes and candidates, the latter counted
+among sampled fingerprints, so that what the bits of a partition have in common
+counts too. Fingerprints meet at the signatures they probe, are verified by
+their whole Hamming distance, and a task hands on a spanning forest of the
+links, never their pairs. A signature shared by very many fingerprints is cut
+into chunks, and every pair of chunks is a task of its own.
+
+Edited copies often lie further apart than max_bits of 64 bits, and a larger
+max_bits alone would link strangers in a large corpus. one_of_each therefore
+probes to NEAR_BITS bits and verifies candidates by 128 further bits, set in
+the same way from another hash: of the 192 bits, at most NEAR_TOTAL may differ.
 
 Defined cases: a text without words, or null, has fingerprint zero and links
 like any other; equal texts share a fingerprint, hence a component; a null
 doc_id gets its fingerprint and the smallest id of its component (null if that
-has none); an empty table gives an empty table; extra columns are ignored.
+has none), and stays as that component's one row only if it has no row with an
+id; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +41,10 @@ from .components import components
 from .linking import spanning
 
 SEED, SHINGLE, BITS, MAX_BITS = 42, 4, 64, 4
+#: one_of_each: bits of 64 that candidates may differ in, and bits of 192 that near-duplicates may.
+NEAR_BITS, NEAR_TOTAL = 8, 32
+#: Fingerprints that candidates are counted among, for the plan.
+SAMPLE = 2048
 #: Costs of one probe row through a shuffle and of one verified candidate, in microseconds.
 PROBE_COST, CANDIDATE_COST = 1.5, 0.01
 #: Rows of one signature that a task compares at once; more are cut into chunks.
@@ -42,33 +53,54 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _SLICE = 1 << 16
 
 
-def fingerprint(text: bytes | None) -> int:
-    """Fingerprint of a text in UTF-8, as an unsigned integer."""
+def _majority(digests: np.ndarray, counts: np.ndarray) -> None:
+    counts += np.unpackbits(digests.view(np.uint8).reshape(-1, len(counts) // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _packed(counts: np.ndarray, n: int) -> np.ndarray:
+    return np.packbits(2 * counts > n, bitorder="little").view("<u8")
+
+
+def wide_fingerprint(text: bytes | None, wide: bool = True) -> np.ndarray:
+    """Fingerprint of a text in UTF-8 and, if wide, two further words from XXH3."""
     words = (text or b"").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(3 if wide else 1, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[:-1]]
     n = max(1, len(words) - SHINGLE + 1)
     last = ends[min(SHINGLE, len(words)) - 1 :]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    first, more = np.zeros(BITS, np.int64), np.zeros(2 * BITS, np.int64)
+    digest, further = xxhash.xxh64_intdigest, xxhash.xxh3_128_digest
     for k in range(0, n, _SLICE):
-        h = np.array([digest(joined[s : e - 1], SEED) for s, e in zip(starts[k : min(n, k + _SLICE)], last[k : k + _SLICE])], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+        shingles = [joined[s : e - 1] for s, e in zip(starts[k : min(n, k + _SLICE)], last[k : k + _SLICE])]
+        _majority(np.array([digest(x, SEED) for x in shingles], "<u8"), first)
+        if wide:
+            _majority(np.frombuffer(b"".join([further(x, SEED) for x in shingles]), np.uint8), more)
+    return np.concatenate([_packed(first, n), _packed(more, n)]) if wide else _packed(first, n)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(2)), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
+def fingerprint(text: bytes | None) -> int:
+    """Fingerprint of a text in UTF-8, as an unsigned integer."""
+    return int(wide_fingerprint(text, False)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp): the fingerprint of each row of docs as a signed long."""
+def fingerprints(docs: DataFrame, wide: bool = False) -> DataFrame:
+    """(doc_id, text_hash, fp, more1, more2): the fingerprint of each row of docs as a signed long, and its further
+    words (zero unless wide)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.zeros((b.num_rows, 3), np.uint64)
+            for i, x in enumerate(b.column(2)):
+                own = wide_fingerprint(x.as_py(), wide)
+                out[i, : len(own)] = own
+            columns = [pa.array(np.ascontiguousarray(out[:, j]).view(np.int64)) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "text_hash", "fp", "more1", "more2"])
+
     rows = need(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, more1 long, more2 long")
 
 
 def _bit_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,26 +145,38 @@ def partition_bits(n: int, products: np.ndarray, m: int) -> list[list[int]]:
     return groups
 
 
-def _near(p: np.ndarray, group: list[int], most: int) -> list[float]:
-    """For t = 0..most: the estimated chance that two fingerprints differ in at most t bits of the group."""
+def _near(p: np.ndarray, group: list[int], most: int, sample: np.ndarray) -> list[float]:
+    """For t = 0..most: the estimated chance that two fingerprints differ in at most t bits of the group.
+
+    Counted among pairs of the sample; where those are too few to tell, at least what independent bits would give.
+    """
     dist = np.zeros(most + 1)
     dist[0] = 1
     for b in group:
         differ = 2 * p[b] * (1 - p[b])
         dist = dist * (1 - differ) + np.concatenate([[0], dist[:-1]]) * differ
-    return list(np.cumsum(dist))
-
-
-def plan(n: int, products: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each partition that is probed, by dynamic programming."""
+    alone = np.cumsum(dist)
+    if len(sample) < 2:
+        return list(alone)
+    own = sample & np.uint64(sum(1 << b for b in group))
+    found = np.zeros(BITS + 1, np.int64)
+    for k in range(0, len(own), 256):
+        found += np.bincount(np.bitwise_count(own[k : k + 256, None] ^ own[None, :]).ravel(), minlength=BITS + 1)
+    found[0] -= len(own)  # each with itself
+    return list(np.maximum(alone, np.cumsum(found[: most + 1]) / (len(own) * (len(own) - 1))))
+
+
+def plan(n: int, products: np.ndarray, max_bits: int = MAX_BITS, sample: np.ndarray | None = None) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each partition that is probed, by dynamic programming; sample holds fingerprints."""
     p = np.diag(products) / max(n, 1)
+    sample = np.zeros(0, np.uint64) if sample is None else sample
     best: tuple[float, list[tuple[list[int], int]]] = (float("inf"), [])
     for m in range(2, max_bits + 2):
         groups = partition_bits(n, products, m)
         # state: how much of max_bits + 1 is allotted -> (cost, thresholds)
         state: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for g in groups:
-            near, after = _near(p, g, min(3, max_bits)), {}
+            near, after = _near(p, g, min(3, max_bits), sample), {}
             for used, (cost, chosen) in state.items():
                 for t in range(-1, min(3, max_bits - used) + 1):
                     probes = sum(comb(len(g), j) for j in range(t + 1))
@@ -150,7 +194,7 @@ def _signed(x: int) -> int:
 
 
 def _probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, sig, home, fp): the signatures each fingerprint visits. At its own it is at home;
+    """(part, sig, home, fp, more1, more2): the signatures each fingerprint visits. At its own it is at home;
     of two that are near, the one with the larger signature visits the smaller."""
     each = []
     for i, (bits, t) in enumerate(parts):
@@ -162,29 +206,39 @@ def _probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
             visits = F.filter(F.transform(masks, lambda x: own.bitwiseXOR(x)), lambda s: s < own)
             home = F.concat(home, F.transform(visits, lambda s: F.struct(F.lit(i).alias("part"), s.alias("sig"), F.lit(False).alias("home"))))
         each.append(home)
-    return fps.select("fp", F.explode(F.concat(*each)).alias("k")).select("k.*", "fp")
+    return fps.select("fp", "more1", "more2", F.explode(F.concat(*each)).alias("k")).select("k.*", "fp", "more1", "more2")
 
 
 def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64))
 
 
-def _short_runs(run, fp, home, chunk, longest, max_bits):
+def _linked(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], max_bits: int, most: int | None) -> np.ndarray:
+    """Whether fingerprints (fp, more1, more2) link: by the first word, and by all three if `most` is given."""
+    first = _differing(x[0], y[0])
+    near = first <= max_bits
+    if most is not None and near.any():
+        near &= first.astype(np.int16) + _differing(x[1], y[1]) + _differing(x[2], y[2]) <= most
+    return near
+
+
+def _short_runs(run, words, home, longest, max_bits, most):
     """Links within short runs, by comparing each row with those 1, 2, ... places after it."""
-    a, b = [], []
+    fp, a, b = words[0], [], []
     for s in range(1, longest):
-        near = (run[s:] == run[:-s]) & (home[s:] | home[:-s]) & (_differing(fp[s:], fp[:-s]) <= max_bits)
+        near = (run[s:] == run[:-s]) & (home[s:] | home[:-s]) & _linked([w[s:] for w in words], [w[:-s] for w in words], max_bits, most)
         if near.any():
             a.append(fp[s:][near])
             b.append(fp[:-s][near])
     return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], max_bits: int, most: int | None) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (part, sig, ca, cb); a run of equal keys is compared within itself."""
     kept: list[np.ndarray] | None = None
 
-    def links(part, sig, ca, cb, chunk, home, fp):
+    def links(part, sig, ca, cb, chunk, home, *words):
+        fp = words[0]
         new = np.flatnonzero((part[1:] != part[:-1]) | (sig[1:] != sig[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])) + 1
         starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(fp)]])
         sizes, run = ends - starts, np.repeat(np.arange(len(starts)), ends - starts)
@@ -192,25 +246,25 @@ def _verify(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Rec
         out = []
         use = short[run]
         if use.any():
-            out.append(_short_runs(run[use], fp[use], home[use], chunk[use], int(sizes[short].max()), max_bits))
+            out.append(_short_runs(run[use], [w[use] for w in words], home[use], int(sizes[short].max()), max_bits, most))
         for k in np.flatnonzero(~short):
             x = slice(starts[k], ends[k])
-            f, h, c, two = fp[x], home[x], chunk[x], ca[starts[k]] != cb[starts[k]]
-            one = (c == ca[starts[k]]) if two else np.ones(len(f), bool)
+            f, h, c, two = [w[x] for w in words], home[x], chunk[x], ca[starts[k]] != cb[starts[k]]
+            one = (c == ca[starts[k]]) if two else np.ones(len(c), bool)
             other = ~one if two else one
             left, right = np.flatnonzero(one), np.flatnonzero(other)
             for j in range(0, len(left), CHUNK):
                 for q in range(0, len(right), CHUNK):
                     u, v = left[j : j + CHUNK], right[q : q + CHUNK]
-                    near = (_differing(f[u][:, None], f[v][None, :]) <= max_bits) & (h[u][:, None] | h[v][None, :])
-                    out.append(spanning(f[u], f[v], near))
+                    near = _linked([w[u][:, None] for w in f], [w[v][None, :] for w in f], max_bits, most) & (h[u][:, None] | h[v][None, :])
+                    out.append(spanning(f[0][u], f[0][v], near))
         a, b = (np.concatenate([o[i] for o in out]) if out else fp[:0] for i in (0, 1))
         diff = a != b
         pairs = np.unique(np.stack([np.maximum(a[diff], b[diff]), np.minimum(a[diff], b[diff])]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     for b in batches:
-        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
         if kept is not None:
             now = [np.concatenate([k, x]) for k, x in zip(kept, now)]
         if not len(now[0]):
@@ -226,33 +280,39 @@ def _verify(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Rec
         yield links(*kept)
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """fps(fp): distinct fingerprints. Returns links (a, b) that span the near pairs' components."""
+def links(fps: DataFrame, max_bits: int = MAX_BITS, most: int | None = None) -> DataFrame:
+    """fps(fp, more1, more2): distinct fingerprints. Returns links (a, b) that span the near pairs' components. Near
+    is within max_bits bits of fp and, if `most` is given, within so many bits of all three words."""
     n, products = bit_statistics(fps)
-    rows = _probes(fps, plan(n, products, max_bits))
+    share = F.lit(int(min(1.0, SAMPLE / max(n, 1)) * (1 << 40)))
+    some = fps.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(1 << 40)) <= share).select("fp").limit(2 * SAMPLE).toArrow()
+    sample = some.column(0).to_numpy().view(np.uint64)
+    rows = _probes(fps, plan(n, products, max_bits, sample))
     hot = rows.groupBy("part", "sig").count().where(F.col("count") > CHUNK)
     rows = rows.join(hot, ["part", "sig"], "left")
     n_chunks = F.coalesce(F.ceil(F.col("count") / CHUNK), F.lit(1)).cast("int")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("fp"), n_chunks).cast("int"))
     others = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda o: F.struct(F.least("chunk", o).alias("ca"), F.greatest("chunk", o).alias("cb")))
-    rows = rows.select("part", "sig", F.explode(others).alias("c"), "chunk", "home", "fp").select(
-        "part", "sig", "c.ca", "c.cb", "chunk", "home", "fp"
-    )
+    names = ["chunk", "home", "fp", "more1", "more2"]
+    rows = rows.select("part", "sig", F.explode(others).alias("c"), *names).select("part", "sig", "c.ca", "c.cb", *names)
     return (
         rows.repartition("part", "sig", "ca", "cb")
         .sortWithinPartitions("part", "sig", "ca", "cb")
-        .mapInArrow(lambda it: _verify(it, max_bits), "a long, b long")
+        .mapInArrow(lambda it: _verify(it, max_bits, most), "a long, b long")
     )
 
 
-def simhash_components(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def simhash_components(docs: DataFrame, max_bits: int = MAX_BITS, most: int | None = None) -> DataFrame:
     """(doc_id, text_hash, fp, component, component_id) of each row of docs; component names the group, also one
     without an id."""
-    prints = stage(fingerprints(docs), "fingerprints")
-    fps = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    joined = components(links(fps, max_bits))
-    of = fps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    prints = stage(fingerprints(docs, most is not None), "fingerprints")
+    words = F.min(F.struct("more1", "more2")).alias("more")
+    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), words).select("fp", "least", "more.more1", "more.more2")
+    fps = stage(fps, "distinct-fingerprints")
+    joined = components(links(fps.select("fp", "more1", "more2"), max_bits, most))
+    of = fps.select("fp", "least").join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     of = stage(of, "fingerprint-components")
+    drop_staged(fps)
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
     named = of.join(ids, "component").select("fp", "component", "component_id")
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
@@ -263,17 +323,19 @@ def simhash_report(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return simhash_components(docs, max_bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays.
+def one_of_each(docs: DataFrame, max_bits: int = NEAR_BITS, most: int | None = NEAR_TOTAL) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the smallest doc_id stays, or any one if none of
+    its rows has an id.
 
-    Of rows of a component that repeat that doc_id one stays; rows of other components do not suffer from it.
-    Rows with a null doc_id, which cannot be told apart, all stay.
+    Rows that repeat that doc_id and text are one; rows of other components do not suffer from an id of their own
+    that is the same.
     """
-    stay = simhash_components(docs, max_bits).where("doc_id = component_id")
-    stay = stay.select("doc_id", F.col("text_hash").alias("__hash"), F.col("component").alias("__component")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))).alias("first")
+    stay = simhash_components(docs, max_bits, most).groupBy("component").agg(first)
+    stay = stay.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash")).distinct()
     safe, names = carried(docs, "doc_id", "text")
-    # The hash is compared beside the join on doc_id, so that what follows needs no other partitioning.
-    same = F.xxhash64(safe["text"]).bitwiseXOR(stay["__hash"]) == 0
-    kept = safe.join(stay, (safe["doc_id"] == stay["doc_id"]) & same).select(*[safe[n] for n in names], "__component")
-    kept = kept.dropDuplicates(["doc_id", "__component"]).select(*names)
-    return kept.union(safe.where("doc_id is null")).toDF(*docs.columns)
+    # One partitioning, by id and digest of the text, serves the join and the removal of repeats.
+    safe = safe.withColumns({"__own": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull(), "__digest": F.xxhash64("text")})
+    stay = stay.select(F.coalesce("__id", F.lit(0)).alias("__own"), F.col("__id").isNull().alias("__none"), F.col("__hash").alias("__digest"))
+    kept = safe.join(stay, ["__own", "__none", "__digest"]).dropDuplicates(["__own", "__none", "__digest"])
+    return kept.select(*names).toDF(*docs.columns)
