@@ -166,6 +166,32 @@ def test_warc(spark):
     assert warc.warc_report(pages.where("false")).count() == 0
 
 
+def test_warc_legal_forms(spark):
+    import duckdb
+
+    pages = [
+        ("http://e/a", "<html><head><title>T</title><body><p>Hello"), ("http://e/b\r\nWARC-Type: x", "<html lang='fr' class=x><a class=\"k\" href='/x'>1</a> <a href=/y>2</a><A HREF = \"/z\r\nq\" >3</a><a data-href='/no'>4</a>"),
+        ("u", "caf&eacute; &#233;&#xE9;&#XE9; &#8217;&rsquo;&#146; a&#160;b &unknown; &amp;eacute; &#38;lt; &#0;&#xD800;&#1114112; &; &eacute &#x1F600;"),
+        ("u", "<p>a</p><script>var x = '<!--';</script><p>b</p><style>p{}</style><!-- <p>no --><title>x</title>c<template>d"), ("u", "x " * 600_000 + "<br>" * 50_000 + "&eacute;" * 20_000), (None, None),
+    ]
+    df = clashing(spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string"))
+    rows = warc.warc_report(df).collect()
+    block = {(r["page_id"], r["warc_type"]): r["block"] for r in rows}
+    assert block[0, "conversion"] == "Hello" and block[3, "conversion"] == "a\nb\nc"
+    assert "language: fr\r\n" in block[1, "metadata"] and re.findall("outlink: (.*?) L", block[1, "metadata"]) == ["/x", "/y", "/zq"]
+    assert block[2, "conversion"] == "café ééé ’’’ a b &unknown; &eacute; &lt; \ufffd\ufffd\ufffd &; &eacute 😀"
+    assert block[4, "conversion"].endswith("é" * 20_000)
+    heads = [r["record"].split("\r\n\r\n")[0] for r in warc.written(warc.derive(warc.responses(df))).where("page_id = 1").collect()]
+    assert all(h.count("WARC-Type: ") == 1 + h.count("%0D%0AWARC-Type: ") == 2 for h in heads)
+    for h in heads:
+        assert ("WARC-Payload-Digest: " in h) == ("WARC-Type: response" in h) == ("X-Source-Payload-Digest: " not in h)
+    con = duckdb.connect()
+    con.register("pages", df.select("page_id", "url", "html").toPandas())
+    want = con.execute(warc.WARC_SQL)
+    names = [x[0] for x in want.description]
+    assert sorted(map(repr, (tuple(r[n] for n in names) for r in rows))) == sorted(map(repr, want.fetchall()))
+
+
 # --- 4 embeddings ------------------------------------------------------------------------
 def vectors(rng, n=700, dim=16):
     base = rng.normal(size=(n, dim))
