@@ -87,8 +87,9 @@ def test_quality_lines(spark):
     junk = "Home | About | Contact"
     other = "It has other words than the one before it."
     texts = [f"{good}\n{junk}\n\n{other}", f"{good}\n{junk * 20}", "\n".join([good, other, "All rights reserved."])]
+    texts += ["\n".join([good, other, x]) for x in ("Tous droits réservés.", "Hier klicken, um mehr zu sehen.", "Lea nuestra POLÍTICA DE PRIVACIDAD.")]
     kept = quality_rules.clean_documents(docs(spark, texts)).collect()
-    assert {r["doc_id"]: r["text"] for r in kept} == {0: f"{good}\n\n{other}", 2: f"{good}\n{other}"}
+    assert {r["doc_id"]: r["text"] for r in kept} == {0: f"{good}\n\n{other}", **{i: f"{good}\n{other}" for i in range(2, 6)}}
 
 
 # --- 2 secrets -------------------------------------------------------------------------
@@ -701,6 +702,9 @@ def test_raking_meets_all_marginals(spark):
     df = spark.createDataFrame([*cells, ("s0", "l9", "t0", 0)], "source string, lang string, topic string, tokens long")
     targets = {"source": {f"s{i}": 0.2 for i in range(5)}, "lang": {"l0": 0.5, "l1": 0.3, "l2": 0.2}}
     rows = mixing.rake(df, targets).collect()
+    assert max(r["residual"] for r in rows) <= mixing.TOLERANCE
+    apart = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
+    assert mixing.rake(apart, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}).first()["residual"] > 0.1
     total = sum(c[3] for c in cells)
     for d, want in targets.items():
         for v, share in want.items():

@@ -7,7 +7,8 @@ shuffle, no Python.
 
 Defined cases: a null or empty text has no words, fails the base rules and is
 not kept; blank lines are neither judged nor counted as lost; repeated rows are
-judged one by one; extra columns are ignored by the query and carried by
+judged one by one; a text of any length is judged whole; an empty table gives an
+empty table; extra columns are ignored by the query and carried by
 clean_documents.
 """
 
@@ -18,11 +19,14 @@ from pyspark.sql import functions as F
 
 from .common import carried, need, whole, words
 
-#: A line is boilerplate if it has one of these (lower case).
+#: A line is boilerplate if it has one of these (lower case): English, German, French, Spanish.
 BOILERPLATE = (
     "all rights reserved", "licensed under", "released under the", "copyright", "terms of use",
     "terms of service", "privacy policy", "cookie", "click here", "sign up", "subscribe",
     "javascript", "powered by", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "impressum", "hier klicken", "abonnieren", "lizenziert unter",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "cliquez ici", "s'abonner", "sous licence",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "haga clic aquí", "suscríbete", "bajo licencia",
 )
 #: Marks that a line of prose may end with.
 ENDINGS = ".!?:;…\"'”’»)]"
@@ -38,23 +42,26 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 
 
-def _line_rules(line: Column, max_symbol_share: float, max_shout_share: float) -> dict[str, Column]:
-    """Each rule's verdict on a line: true if the line fails."""
+def _measured(line: Column) -> Column:
+    """What the rules ask of a line, each measure taken once."""
     length = F.length(line)
     stripped = F.rtrim(F.translate(line, "\t\r\x0b\x0c", "    "))
-    ends = F.right(stripped, F.lit(1))
-    ended = F.instr(F.lit(ENDINGS), ends) > 0
-    n_symbols = length - F.length(F.translate(line, "#*$%&|<>", ""))
-    n_shouts = length - F.length(F.replace(line, F.lit("!"), F.lit("")))
-    n_separators = length - F.length(F.translate(line, SEPARATORS, ""))
-    n_words = F.size(words(line))
-    lowered = F.lower(line)
+    return F.struct(
+        line.alias("line"), length.alias("n"), F.lower(line).alias("low"), F.right(stripped, F.lit(1)).alias("end"),
+        (length - F.length(F.translate(line, "#*$%&|<>", ""))).alias("symbols"), (length - F.length(F.translate(line, "!", ""))).alias("shouts"),
+        (length - F.length(F.translate(line, SEPARATORS, ""))).alias("separators"), F.regexp_count(line, F.lit(WORD + "+")).alias("words"),
+    )
+
+
+def _line_rules(line: Column, max_symbol_share: float, max_shout_share: float) -> dict[str, Column]:
+    """Each rule's verdict on a measured line: true if the line fails."""
+    ended = F.instr(F.lit(ENDINGS), line["end"]) > 0
     boilerplate = F.lit(False)
     for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(lowered, F.lit(phrase))
+        boilerplate = boilerplate | F.contains(line["low"], F.lit(phrase))
     return {
-        "punctuation": (~ended & (n_words < CUT_WORDS)) | (n_symbols > max_symbol_share * length) | (n_shouts > max_shout_share * n_words),
-        "navigation": (n_separators >= 2) | ((n_words <= 3) & ~ended),
+        "punctuation": (~ended & (line["words"] < CUT_WORDS)) | (line["symbols"] > max_symbol_share * line["n"]) | (line["shouts"] > max_shout_share * line["words"]),
+        "navigation": line["separators"] >= 2,
         "boilerplate": boilerplate,
     }
 
@@ -66,12 +73,12 @@ def with_rules(
     n_dup_lines, n_repeat_words, base_failed, n_lines, n_bad_lines, lost_share, kept."""
     text = whole(F.col("text"))
     lines = F.split(text, "\n")
-    d = docs.withColumns({"_words": words(F.col("text")), "_lines": lines})
+    d = docs.withColumns({"_words": words(F.col("text")), "_lines": F.transform(lines, _measured)})
 
     bad = lambda x: (lambda r: r["punctuation"] | r["navigation"] | r["boilerplate"])(
         _line_rules(x, max_symbol_share, max_shout_share)
     )
-    worded = F.filter(F.col("_lines"), lambda x: x.rlike(WORD))
+    worded = F.transform(F.filter(F.col("_lines"), lambda x: x["words"] > 0), lambda x: x["line"])
     w = F.col("_words")
     n_windows = F.size(w) - (WINDOW - 1)
     hashes = F.when(
@@ -82,7 +89,7 @@ def with_rules(
         {
             "_hashes": hashes,
             "_worded": worded,
-            "_good": F.filter(F.col("_lines"), lambda x: ~x.rlike(WORD) | ~bad(x)),
+            "_good": F.filter(F.col("_lines"), lambda x: (x["words"] == 0) | ~bad(x)),
         }
     )
     # Only texts in which some window comes twice need the windows' places.
@@ -100,11 +107,11 @@ def with_rules(
         F.lit(0),
         lambda a, x: a + x,
     )
-    total = F.aggregate("_worded", F.lit(0), lambda a, x: a + F.length(x))
-    good = F.aggregate(F.filter("_good", lambda x: x.rlike(WORD)), F.lit(0), lambda a, x: a + F.length(x))
+    n_chars = lambda of: F.aggregate(of, F.lit(0), lambda a, x: a + F.when(x["words"] > 0, x["n"]).otherwise(0))
+    total, good = n_chars("_lines"), n_chars("_good")
     d = d.withColumns(
         {
-            "clean_text": F.array_join("_good", "\n"),
+            "clean_text": F.array_join(F.transform("_good", lambda x: x["line"]), "\n"),
             "n_words": F.size(w).cast("long"),
             "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
@@ -171,4 +178,4 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND share <= 0.5 AS kept, n_lines, n_bad_lines FROM b
-""".replace("BOILER", "|".join(BOILERPLATE)).replace("CUT_WORDS", str(CUT_WORDS))
+""".replace("BOILER", "|".join(BOILERPLATE).replace("'", "''")).replace("CUT_WORDS", str(CUT_WORDS))
