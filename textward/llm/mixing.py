@@ -16,7 +16,7 @@ names them); all others keep the fitted proportions to each other.
 
 Targets not given are tempered shares: share ** power, made to sum to 1.
 
-Defined cases: a null source or language is a value of its own, "(none)"; a
+Defined cases: a null source or language is the value "(none)"; a
 null text has no tokens and topic "notes"; a cell without tokens keeps ratio 1;
 the chance of a document comes from a hash of its doc_id (of its text where
 that is null), so rows that repeat a doc_id are sampled together; an empty
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, drop_staged, need, stage, whole, words
+from .common import carried, need, stage, whole, words
 
 DIMENSIONS = ("source", "lang", "topic")
 POWERS = {"source": 0.8, "lang": 0.8, "topic": 1.0}
@@ -57,10 +57,12 @@ def _described(docs: DataFrame) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] = POWERS) -> DataFrame:
-    """cells(source, lang, topic, tokens) plus ratio: fitted over observed tokens."""
+    """cells(source, lang, topic, tokens) plus ratio: fitted over observed tokens, and residual: what the marginal
+    that is furthest off still misses its target by, as a share of all tokens (over TOLERANCE if the sweeps ended
+    first, as they do where no weights can meet all targets)."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not total:
-        return cells.withColumn("ratio", F.lit(1.0))
+        return cells.withColumns({"ratio": F.lit(1.0), "residual": F.lit(0.0)})
     now = cells.where("tokens > 0").withColumn("w", F.col("tokens") / F.lit(float(total)))
     for d in DIMENSIONS:
         if targets and d in targets:
@@ -81,7 +83,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, p
         if max(off) <= TOLERANCE:
             break
     fitted = now.select(*DIMENSIONS, (F.col("w") * F.lit(float(total)) / F.col("tokens")).alias("ratio"))
-    return cells.join(fitted, list(DIMENSIONS), "left").withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
+    return cells.join(fitted, list(DIMENSIONS), "left").withColumns({"ratio": F.coalesce("ratio", F.lit(1.0)), "residual": F.lit(float(max(off)))})
 
 
 def _divisor(raked: DataFrame, most: float, least_share: float) -> float:
@@ -100,7 +102,7 @@ def _divisor(raked: DataFrame, most: float, least_share: float) -> float:
 
 
 def _ratios(described: DataFrame, targets, powers, least_share: float) -> tuple[DataFrame, int]:
-    """(source, lang, topic, tokens, weight, probability) of the cells, and their count."""
+    """(source, lang, topic, tokens, weight, residual, probability) of the cells, and their count."""
     if not 0 <= least_share <= 1:
         raise ValueError(f"least_share must be from 0 to 1: {least_share}")
     cells = stage(described.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
@@ -108,18 +110,19 @@ def _ratios(described: DataFrame, targets, powers, least_share: float) -> tuple[
     n, most = raked.agg(F.count(F.lit(1)), F.max(F.when(F.col("tokens") > 0, F.col("ratio")))).first()
     by = _divisor(raked, most, least_share) if most and least_share else most or 1.0
     probability = F.least(F.lit(1.0), F.col("ratio") / F.lit(by))
-    return raked.select(*DIMENSIONS, "tokens", F.col("ratio").alias("weight"), probability.alias("probability")), n
+    return raked.select(*DIMENSIONS, "tokens", F.col("ratio").alias("weight"), "residual", probability.alias("probability")), n
 
 
 def _probabilities(described: DataFrame, targets, powers, least_share: float) -> DataFrame:
     """described plus weight (the cell's ratio) and probability."""
     ratios, n = _ratios(described, targets, powers, least_share)
-    ratios = ratios.drop("tokens")
+    ratios = ratios.drop("tokens", "residual")
     return described.join(F.broadcast(ratios) if n <= BROADCAST_CELLS else ratios, list(DIMENSIONS))
 
 
 def sample_cells(docs: DataFrame, targets=None, powers: dict[str, float] = POWERS, least_share: float = 0.0) -> DataFrame:
-    """source, lang, topic, tokens, weight, probability, capped of each cell; capped: its chance would pass 1."""
+    """source, lang, topic, tokens, weight, residual, probability, capped of each cell; residual: see rake; capped:
+    its chance would pass 1."""
     d = _described(need(docs, "doc_id", "text", "source", "lang"))
     cells, _ = _ratios(d, targets, powers, least_share)
     # Uncapped cells share one quotient of probability and weight; a capped one has a smaller.
