@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textward.llm import language_id, mixing, packing, secret_scan, simhash_dedup
+from textward.llm.common import drop_staged
 from textward.llm.common import stage as staged
 from textward.llm.common import table
 
@@ -21,12 +22,13 @@ LEAST_SHARE = 2 / 3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language go: no letter, no text, or no language with half of the score."""
+    """Documents in no known language go: no letter, no text, no language with half of the score, or none that explains the text."""
     return language_id.keep_known(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays. Edited copies count: candidates
+    within 8 of 64 bits are verified by 128 more."""
     return simhash_dedup.one_of_each(docs)
 
 
@@ -65,5 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table; what one keeps is written before the next begins."""
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
-        docs = staged(function(spark, docs, sf_dir), name)
+        before, docs = docs, staged(function(spark, docs, sf_dir), name)
+        drop_staged(before)
     return STAGES[-1][1](spark, docs, sf_dir)
