@@ -21,11 +21,29 @@ def linear_scores(texts: DataFrame, ids: list[str], weights: DataFrame, bias: fl
     Up to BROADCAST_WEIGHTS weights(key, weight) are broadcast, more are joined by shuffle. Texts with none of the
     keys get the bias alone.
     """
-    side = F.broadcast(weights) if weights.count() <= BROADCAST_WEIGHTS else weights
+    return texts.join(_sums(texts, ids, weights), ids, "left").withColumn("toxicity_score", _chance(F.lit(bias))).drop("_w")
+
+
+def _chance(bias: Column) -> Column:
+    return F.round(1 / (1 + F.exp(-(F.coalesce("_w", F.lit(0.0)) + bias))), 6)
+
+
+def _sums(texts: DataFrame, ids: list[str], weights: DataFrame) -> DataFrame:
+    """ids, _w: the weights of each text's distinct keys, for texts that have any."""
+    # The weights come from a pass over the whole corpus; brought to the driver once, they are not worked out again.
+    few = weights.select("key", "weight").limit(BROADCAST_WEIGHTS + 1).collect()
+    if not few:
+        return texts.select(*ids).where("false").withColumn("_w", F.lit(0.0))
+    side = F.broadcast(texts.sparkSession.createDataFrame(few, weights.select("key", "weight").schema)) if len(few) <= BROADCAST_WEIGHTS else weights
     hits = document_keys(texts.select(*ids, "text")).join(side, "key")
-    sums = hits.groupBy(*ids).agg(F.sum("weight").alias("_w"))
-    z = F.coalesce("_w", F.lit(0.0)) + F.lit(bias)
-    return texts.join(sums, ids, "left").withColumn("toxicity_score", F.round(1 / (1 + F.exp(-z)), 6)).drop("_w")
+    return hits.groupBy(*ids).agg(F.sum("weight").alias("_w"))
+
+
+def label_scores(texts: DataFrame, ids: list[str], weights: DataFrame, biases: dict[str, float]) -> DataFrame:
+    """ids, label, score: as linear_scores, with a bias for each label."""
+    each = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(float(b)).alias("bias")) for n, b in biases.items()])
+    rows = texts.select(*ids).join(_sums(texts, ids, weights), ids, "left").withColumn("_l", F.explode(each))
+    return rows.select(*ids, F.col("_l.label").alias("label"), _chance(F.col("_l.bias")).alias("score"))
 
 
 def confusion(rows: DataFrame, predicted: Column, truth: Column, *by: str) -> DataFrame:
@@ -171,6 +189,15 @@ def rare_rows(rows: DataFrame, row_id: str, label: str, target: int = C.AUGMENT_
     return augment(draws.join(numbered, "place").drop("place", "have"), F.lit(label), F.col("draw"))
 
 
+def augmented(rows: DataFrame, row_id: str, labels: list[str], target: int = C.AUGMENT_TARGET) -> DataFrame:
+    """The rows themselves (label empty, draw 0) and, for each label that is rarer than the target, its noisy copies."""
+    own = rows.select(F.lit("").alias("label"), F.lit(0).alias("draw"), *rows.columns)
+    for label in labels:
+        more = rare_rows(rows, row_id, label, target).select(F.lit(label).alias("label"), F.col("draw").cast("int").alias("draw"), *rows.columns)
+        own = own.unionByName(more)
+    return own
+
+
 def class_report(rows: DataFrame, predicted: Column, truth: Column) -> DataFrame:
     """precision, recall, f1 and support of each class, 0 and 1."""
     both = rows.select(predicted.alias("_p"), truth.alias("_t"))

@@ -94,8 +94,17 @@ def audit(answered: DataFrame, *extra: str) -> DataFrame:
 
 
 def response(answered: DataFrame, *ids: str) -> DataFrame:
-    """What a caller gets; `allowed` stays inside."""
-    return answered.select(*ids, "action", "proceed", "outcome", "reason", "toxicity_score", F.col("max_severity").alias("lexicon_severity"), F.col("matches").alias("lexicon_matches"))
+    """What a caller gets; `allowed` stays inside. Categories are empty where answered has none (see category_maps);
+    latency_ms is the time since `received_at`, null without it."""
+    has = lambda n, kind: F.col(n) if n in answered.columns else F.lit(None).cast(kind)
+    none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string,double>")
+    since = F.unix_micros(F.current_timestamp()) - F.unix_micros(has("received_at", "timestamp"))
+    return answered.select(
+        *ids, "action", "proceed", "outcome", "reason", "toxicity_score", F.col("max_severity").alias("lexicon_severity"),
+        F.coalesce("matches", F.array().cast(answered.schema["matches"].dataType)).alias("lexicon_matches"),
+        F.coalesce(has("flagged_categories", "map<string,double>"), empty).alias("flagged_categories"),
+        F.coalesce(has("advisory_categories", "array<string>"), none).alias("advisory_categories"), (since / 1000).alias("latency_ms"),
+    )
 
 
 def health(lexicon: DataFrame, has_classifier: bool) -> DataFrame:

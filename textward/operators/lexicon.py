@@ -36,10 +36,15 @@ def build_whitelist(rows: DataFrame) -> DataFrame:
 def extended(keys: DataFrame, whitelist: DataFrame, longer_than: Column | None = None) -> DataFrame:
     """Rows of keys(key, ...) whose key begins with a prefix-scoped phrase (longer than a given length).
 
-    Every beginning of the key is looked up, an equi join; a startswith condition would be a nested loop.
+    Of each key as many beginnings are looked up as the phrases have different lengths, an equi join; a startswith
+    condition would be a nested loop, and a key's every beginning grows with the square of its length.
     """
     safe = whitelist.where("Scope = 'prefix'").select(F.col("NormalizedPhrase").alias("_begin")).distinct()
-    starts = F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n))
+    lengths = sorted(r[0] for r in safe.select(F.length("_begin")).distinct().collect())  # lengths of curated phrases
+    if not lengths:
+        return keys.where(F.lit(False))
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("key"))
+    starts = F.transform(fitting, lambda n: F.substring(F.col("key"), F.lit(1), n))
     rows = keys.where("key <> ''").withColumn("_begin", F.explode(starts)).join(safe, "_begin")
     if longer_than is not None:
         rows = rows.where(F.length("_begin") > longer_than)
@@ -167,9 +172,17 @@ def build(roots: DataFrame, manual: DataFrame, whitelist: DataFrame, counts: Dat
         F.col("Position").alias("place"),
     )
     rows = generated.unionByName(leet).unionByName(by_hand).withColumn("source", F.col("Source")).withColumn("rank", rank)
-    # One task numbers the lexicon, whose size the curated list bounds.
-    order = Window.orderBy((F.col("Source") == "manual"), "BadWordId", "rank", "place", "Variation")
-    variations = rows.select(F.row_number().over(order).alias("Id"), "BadWordId", "Variation", "NormalizedVariation", F.col("Source").alias("Source"))
+    # Numbers run on over the words: the place within a word, and the variations of the words before it. Mined forms
+    # grow with the vocabulary, words do not.
+    rows = rows.withColumn("by_hand", F.col("Source") == "manual")
+    own = F.row_number().over(Window.partitionBy("by_hand", "BadWordId").orderBy("rank", "place", "Variation"))
+    sizes = rows.groupBy("by_hand", "BadWordId").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("by_hand", "BadWordId"))  # at most two rows a curated word
+    before = sizes.select("by_hand", "BadWordId", (upto - F.col("n")).alias("before"))
+    numbered = rows.withColumn("own", own).join(before, ["by_hand", "BadWordId"])
+    variations = numbered.select(
+        (F.col("before") + F.col("own")).cast("int").alias("Id"), "BadWordId", "Variation", "NormalizedVariation", F.col("Source").alias("Source")
+    )
     return words, variations
 
 

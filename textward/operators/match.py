@@ -75,7 +75,7 @@ def resolve(rows: DataFrame, lexicon: DataFrame, n_entries: int | None = None) -
             F.col("Severity").alias("severity"), F.col("MatchType").alias("match_type"),
         ).alias("e"),
     )
-    small = (n_entries if n_entries is not None else lexicon.count()) <= BROADCAST_ENTRIES
+    small = (n_entries if n_entries is not None else lexicon.limit(BROADCAST_ENTRIES + 1).count()) <= BROADCAST_ENTRIES
     out = rows.withColumn("_k0", F.col("key")).withColumn("_k1", stem(F.col("key"))).withColumn("_k2", stem(F.col("_k1")))
     for i in range(3):
         side = entry.select(F.col("k").alias(f"_k{i}"), F.col("e").alias(f"_e{i}"))
@@ -84,12 +84,13 @@ def resolve(rows: DataFrame, lexicon: DataFrame, n_entries: int | None = None) -
     return out.where(e.isNotNull()).withColumn("_e", e).select(*rows.columns, "_e.*")
 
 
-def scan(texts: DataFrame, ids: list[str], lexicon: DataFrame, whitelist: DataFrame, check_stem: bool = False) -> DataFrame:
+def scan(texts: DataFrame, ids: list[str], lexicon: DataFrame, whitelist: DataFrame, check_stem: bool = False, n_entries: int | None = None) -> DataFrame:
     """Matches in texts(ids, text): ids, is_run, pos, token, key, matched, word, category, severity, match_type.
 
-    The whitelist is asked for the unstripped key; check_stem asks for the matched one too.
+    The whitelist is asked for the unstripped key; check_stem asks for the matched one too. n_entries is the
+    lexicon's size, where the store knows it; else it is counted.
     """
-    found = resolve(candidate_rows(texts, ids).where("key <> ''"), lexicon)
+    found = resolve(candidate_rows(texts, ids).where("key <> ''"), lexicon, n_entries)
     found = unshielded(found, "key", whitelist)
     if check_stem:
         found = unshielded(found, "matched", whitelist)
@@ -107,9 +108,9 @@ def summarise(matches: DataFrame, ids: list[str]) -> DataFrame:
     )
 
 
-def check(texts: DataFrame, ids: list[str], lexicon: DataFrame, whitelist: DataFrame) -> DataFrame:
+def check(texts: DataFrame, ids: list[str], lexicon: DataFrame, whitelist: DataFrame, n_entries: int | None = None) -> DataFrame:
     """Every text: ids, text, is_flagged, n_matches, max_severity, categories, words, block_words, matches."""
-    found = summarise(scan(texts, ids, lexicon, whitelist), ids)
+    found = summarise(scan(texts, ids, lexicon, whitelist, n_entries=n_entries), ids)
     none = F.array().cast("array<string>")
     return texts.join(found, ids, "left").select(
         *texts.columns, F.col("n_matches").isNotNull().alias("is_flagged"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"),

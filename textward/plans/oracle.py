@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import constants as C
 from ..functions.text import SPACES, TOKEN_SPLIT, key_map
+from ..operators.retrieval import BLOCKED, HELD
 from ..sources import fixtures as X
 
 
@@ -95,6 +96,28 @@ RATIOS = lambda: (
 F1 = "CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1"
 
 
+ANNOTATED = f"""annotated AS (SELECT doc_id, text, toxic, quality FROM corpus UNION ALL SELECT doc_id + k * 10000000000, text || ' !',
+  CASE WHEN {UNIT('doc_id', 'k', "'toxic'")} < 0.3 THEN 1 - toxic ELSE toxic END, CASE WHEN {UNIT('doc_id', 'k', "'quality'")} < 0.3 THEN 1 - quality ELSE quality END FROM corpus, (VALUES (1), (2)) AS v(k))"""
+LABELLED = f"""lb(label, bias, least) AS (VALUES ('insult', -1.0::DOUBLE, {C.CATEGORY_THRESHOLDS['insult']}), ('threat', -2.0, {C.CATEGORY_THRESHOLDS['threat']}), ('obscene', -0.5, {C.CATEGORY_THRESHOLDS['obscene']}), ('severe_toxicity', 1.0, {C.CATEGORY_THRESHOLDS['severe_toxicity']})),
+fl AS (SELECT * FROM (SELECT doc_id, label, least, round(1 / (1 + exp(-(coalesce(z, 0) + bias))), 6) AS s FROM corpus LEFT JOIN ws USING (doc_id), lb) WHERE s >= least)"""
+
+
+def drawn(label: str) -> str:
+    """CTE dr_{label}(draw, doc_id, text, toxic, quality): the copies of a rare label, with their noise."""
+    u = lambda *p: UNIT(f"'{label}'", "draw", *p)
+    p = f"x_{label}"
+    return f"""{p}p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS place, count(*) OVER () AS n FROM corpus WHERE {label} = 1),
+{p}d AS (SELECT unnest(range(1, {C.AUGMENT_TARGET} - n + 1)) AS draw, n AS have FROM (SELECT DISTINCT n FROM {p}p)),
+{p}w AS (SELECT draw, doc_id, toxic, quality, string_split(text, ' ') AS ws FROM {p}d JOIN {p}p ON place = floor({u()} * have) + 1),
+{p}l AS (SELECT draw, doc_id, toxic, quality, list_filter(ws, lambda w, i: i - 1 <> CASE WHEN len(ws) > 3 AND {u("'drop'")} < 0.3 THEN floor({u("'drop at'")} * (len(ws) - 2)) + 1 ELSE -1 END) AS lf FROM {p}w),
+{p}s AS (SELECT *, (CASE WHEN len(lf) > 1 AND {u("'swap'")} < 0.3 THEN floor({u("'swap at'")} * (len(lf) - 1)) ELSE -5 END)::BIGINT AS sw FROM {p}l),
+{p}m AS (SELECT draw, doc_id, toxic, quality, list_transform(lf, lambda w, i: CASE WHEN i - 1 = sw THEN lf[i + 1] WHEN i - 1 = sw + 1 THEN lf[i - 1] ELSE w END) AS mv FROM {p}s),
+{p}u AS (SELECT draw, doc_id, toxic, quality, unnest(mv) AS w, generate_subscripts(mv, 1) - 1 AS i FROM {p}m),
+{p}c AS (SELECT *, length(w) AS n, floor({u("i", "'op'")} * 3) AS op, (floor({u("i", "'i'")} * (length(w) - 2)) + 1)::BIGINT AS j, {u("'noise'", "i")} < 0.3 AS noisy FROM {p}u),
+dr_{label} AS (SELECT draw, doc_id, any_value(toxic) AS toxic, any_value(quality) AS quality, string_agg(CASE WHEN NOT noisy OR n < 4 THEN w WHEN op = 0 THEN substr(w, 1, j) || substr(w, j + 2, 1) || substr(w, j + 1, 1) || substr(w, j + 3)
+  WHEN op = 1 THEN substr(w, 1, j) || substr(w, j + 2) ELSE substr(w, 1, j) || substr(w, j + 1, 1) || substr(w, j + 1, 1) || substr(w, j + 2) END, ' ' ORDER BY i) AS text FROM {p}c GROUP BY draw, doc_id)"""
+
+
 # --- the store ---------------------------------------------------------------
 _roots = values("roots", "Id, Word, Category, Severity, rkey", [(i, *r, plain_key(r[0])) for i, r in enumerate(X.ROOTS, 1)])
 _suffixes = values("suffixes", "place, suffix", list(enumerate(C.INFLECTIONS)))
@@ -186,7 +209,11 @@ SQL: dict[str, str] = {
     "lexicon_variations": store('SELECT Id AS "Id", BadWordId AS "BadWordId", Variation AS "Variation", NormalizedVariation AS "NormalizedVariation", Source AS "Source" FROM wv'),
     "lexicon_lookup_view": store('SELECT NormalizedForm AS "NormalizedForm", BadWordId AS "BadWordId", Word AS "Word", Category AS "Category", Severity AS "Severity", MatchType AS "MatchType" FROM lk'),
     "lexicon_leet_roundtrip": store('SELECT Id AS "Id", spelling, place::INTEGER AS place, true AS returns FROM leet'),
-    "lexicon_violations": "SELECT '' AS rule, '' AS detail WHERE false",
+    "lexicon_violations": store("""SELECT 'severity' AS rule, Word AS detail FROM bw WHERE Category = 'obscene' UNION ALL SELECT 'source', Variation FROM wv WHERE Source = 'rule'
+      UNION ALL SELECT 'unique word', NormalizedWord FROM bw WHERE Category = 'threat' UNION ALL SELECT 'orphan', Variation FROM wv WHERE Source = 'manual'
+      UNION ALL SELECT 'normalised', Variation FROM wv WHERE Source = 'leet' UNION ALL SELECT 'unique spelling', Variation FROM wv WHERE Source = 'inflect' AND BadWordId = 1
+      UNION ALL SELECT 'unique key', NormalizedVariation FROM wv WHERE Source = 'inflect' AND BadWordId = 1 UNION ALL SELECT 'scope', phrase FROM white WHERE scope = 'prefix'
+      UNION ALL SELECT 'reason', phrase FROM white WHERE scope = 'exact' UNION ALL SELECT 'reason', phrase FROM white WHERE phrase = 'the' UNION ALL SELECT 'unique phrase', wkey FROM white WHERE phrase = 'the'"""),
     "lexicon_orphans": store("SELECT Variation AS \"Variation\", Source AS \"Source\" FROM wv WHERE BadWordId IN (SELECT Id FROM bw WHERE Category = 'obscene')"),
     "lexicon_delete_cascade": store("SELECT (SELECT count(*) FROM bw WHERE Category <> 'obscene') AS words, count(*) AS variations FROM wv JOIN bw ON bw.Id = BadWordId WHERE Category <> 'obscene'"),
     "variations_per_category": store('SELECT Category AS "Category", count(DISTINCT bw.Id) AS words, count(wv.Id) AS variations FROM bw LEFT JOIN wv ON wv.BadWordId = bw.Id GROUP BY Category'),
@@ -220,11 +247,18 @@ SQL: dict[str, str] = {
     "policy_outcomes": f"WITH {_gate} SELECT surface, action, outcome, outcome NOT IN ('blocked', 'held_for_review') AS proceed, count(*) AS n FROM po GROUP BY ALL",
     "audit_log": f"WITH {_gate} SELECT conv_id, turn, surface, NULL::VARCHAR AS context, action, outcome, words AS matched_words, text FROM po WHERE action <> 'allow'",
     "moderation_summary": f"WITH {_gate} SELECT action, count(*) AS n FROM gd GROUP BY action",
-    "category_flags": f"WITH {_scored} SELECT doc_id, label, round(s, 3) AS score, label IN ('threat', 'severe_toxicity') AS is_advisory FROM (SELECT doc_id, 'insult' AS label, score AS s FROM sc UNION ALL SELECT doc_id, 'threat', score FROM sc UNION ALL SELECT doc_id, 'obscene', score FROM sc UNION ALL SELECT doc_id, 'toxicity', score FROM sc) WHERE label <> 'toxicity' AND s >= CASE label WHEN 'insult' THEN {C.CATEGORY_THRESHOLDS['insult']} WHEN 'threat' THEN {C.CATEGORY_THRESHOLDS['threat']} ELSE {C.CATEGORY_THRESHOLDS['obscene']} END",
-    "invalid_requests": f"SELECT doc_id, CASE WHEN text IS NULL THEN 'text missing' WHEN length(text) > {C.MAX_TEXT} THEN 'text too long' ELSE 'unknown surface' END AS why FROM documents WHERE text IS NULL OR length(text) > {C.MAX_TEXT} OR source NOT IN ('private', 'public')",
-    "oversized_batches": f"SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) > {C.MAX_BATCH}",
-    "near_dup_groups": f"WITH {CORPUS}, k AS (SELECT *, {NEAR} AS near_key FROM corpus) SELECT near_key, count(*) AS n, sum(toxic)::BIGINT AS pos_toxic, sum(quality)::BIGINT AS pos_quality FROM k WHERE near_key <> '' GROUP BY near_key HAVING count(*) >= 2 AND count(DISTINCT (toxic, quality)) > 1",
-    "label_vote_repair": f"""WITH {CORPUS}, k AS (SELECT *, {NEAR} AS nk FROM corpus),
+    "category_flags": f"WITH {_scored}, {LABELLED} SELECT doc_id, label, round(s, 3) AS score, label IN ('threat', 'severe_toxicity') AS is_advisory FROM fl",
+    "service_responses": f"""WITH {_corpus_match}, {COUNTS}, {CAND}, {SCORES}, {LABELLED}, g AS (SELECT doc_id, string_agg(label || '=' || format('{{:.3f}}', round(s, 3)), ',' ORDER BY label) AS flagged,
+      string_agg(label, ',' ORDER BY label) FILTER (label IN ('threat', 'severe_toxicity')) AS advisory FROM fl GROUP BY doc_id),
+      r AS (SELECT sc.doc_id, round(score, 3) AS toxicity_score, coalesce(max_severity, 0)::INTEGER AS lexicon_severity, coalesce(n_matches, 0)::INTEGER AS n_matches, coalesce(flagged, '') AS flagged, coalesce(advisory, '') AS advisory_categories,
+      CASE WHEN max_severity >= {C.BLOCK_SEVERITY} OR score >= {C.BLOCK_SCORE} THEN 'block' WHEN n_matches > 0 OR score >= {C.REVIEW_SCORE} THEN 'review' ELSE 'allow' END AS action FROM sc LEFT JOIN sm USING (doc_id) LEFT JOIN g USING (doc_id))
+      SELECT *, action = 'allow' AS proceed, CASE action WHEN 'block' THEN 'blocked' WHEN 'review' THEN 'held_for_review' ELSE 'allowed' END AS outcome FROM r""",
+    "invalid_requests": f"""WITH q AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN text END AS t, CASE doc_id % 4 WHEN 0 THEN 'private' WHEN 1 THEN 'public' WHEN 3 THEN source END AS s, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, 300) END AS c FROM documents),
+      w AS (SELECT doc_id, CASE WHEN t IS NULL THEN 'text missing' WHEN length(t) > {C.MAX_TEXT} THEN 'text too long' WHEN s NOT IN ('private', 'public') THEN 'unknown surface' WHEN length(c) > {C.MAX_CONTEXT} THEN 'context too long' END AS why FROM q)
+      SELECT * FROM w WHERE why IS NOT NULL""",
+    "oversized_batches": f"SELECT lang || '-' || doc_id % 2 AS batch, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > {C.MAX_BATCH}",
+    "near_dup_groups": f"WITH {CORPUS}, {ANNOTATED}, k AS (SELECT *, {NEAR} AS near_key FROM annotated) SELECT near_key, count(*) AS n, sum(toxic)::BIGINT AS pos_toxic, sum(quality)::BIGINT AS pos_quality FROM k WHERE near_key <> '' GROUP BY near_key HAVING count(*) >= 2 AND count(DISTINCT (toxic, quality)) > 1",
+    "label_vote_repair": f"""WITH {CORPUS}, {ANNOTATED}, k AS (SELECT *, {NEAR} AS nk FROM annotated),
       g AS (SELECT nk, count(*) AS n, sum(toxic) AS t, sum(quality) AS q FROM k WHERE nk <> '' GROUP BY nk HAVING count(*) >= 2 AND count(DISTINCT (toxic, quality)) > 1),
       v AS (SELECT doc_id, toxic AS t0, quality AS q0, CASE WHEN n IS NULL THEN toxic WHEN 2 * t >= n THEN 1 ELSE 0 END AS toxic, CASE WHEN n IS NULL THEN quality WHEN 2 * q >= n THEN 1 ELSE 0 END AS quality FROM k LEFT JOIN g USING (nk))
       SELECT doc_id, toxic::INTEGER AS toxic, quality::INTEGER AS quality, toxic <> t0 OR quality <> q0 AS changed FROM v""",
@@ -258,6 +292,9 @@ SQL: dict[str, str] = {
       count(*) FILTER (o_sm.doc_id IS NOT NULL) AS flagged_after FROM corpus LEFT JOIN sm USING (doc_id) LEFT JOIN o_sm USING (doc_id)""",
     "rare_label_augment": f"""WITH {CORPUS}, p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, count(*) OVER () AS n FROM corpus WHERE toxic = 1),
       d AS (SELECT unnest(range(1, {C.AUGMENT_TARGET} - n + 1)) AS draw, n FROM (SELECT DISTINCT n FROM p)) SELECT d.draw::INTEGER AS draw, doc_id FROM d JOIN p ON place = floor({UNIT("'toxic'", 'd.draw')} * d.n) + 1""",
+    "augmented_text": f"WITH {CORPUS}, {drawn('toxic')} SELECT draw::INTEGER AS draw, doc_id, text FROM dr_toxic",
+    "augmented_corpus": f"""WITH {CORPUS}, {drawn('toxic')}, {drawn('quality')} SELECT '' AS label, 0 AS draw, doc_id, toxic, quality, md5(text) AS text_md5 FROM corpus
+      UNION ALL SELECT 'toxic', draw::INTEGER, doc_id, toxic, quality, md5(text) FROM dr_toxic UNION ALL SELECT 'quality', draw::INTEGER, doc_id, toxic, quality, md5(text) FROM dr_quality""",
     "char_ngrams_tf": f"WITH {_grams} SELECT item_id, term, n FROM tf",
     "tfidf_weights": f"""WITH {_grams}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), w AS (SELECT item_id, term, (1 + ln(n)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM benchmark)) / (1.0::DOUBLE + df)) + 1) AS r FROM tf JOIN df USING (term))
       SELECT item_id, term, round(r / sqrt(sum(r * r) OVER (PARTITION BY item_id)), 9) AS weight FROM w""",
@@ -265,8 +302,8 @@ SQL: dict[str, str] = {
       FROM conversations c LEFT JOIN (SELECT * FROM rk WHERE rank <= 3) r ON r.conv_id = c.conv_id AND r.turn = c.turn WHERE c.role = 'user'""",
     "gated_qa": f"""WITH {_gate}, {_bench_q}, a AS (SELECT po.conv_id, po.turn, outcome, outcome NOT IN ('blocked', 'held_for_review') AS answered, text FROM po WHERE surface = 'private'),
       b AS (SELECT a.*, CASE WHEN answered THEN coalesce(item_id, (SELECT min(item_id) FROM benchmark)) END AS item_id FROM a LEFT JOIN (SELECT * FROM rk WHERE rank = 1) r ON r.conv_id = a.conv_id AND r.turn = a.turn)
-      SELECT conv_id, turn, answered, outcome, b.item_id, CASE WHEN answered THEN 'You are a helpful teaching assistant. Answer the student''s question using only the video excerpt below.' || chr(10) || chr(10) || 'Video excerpt:' || chr(10) || k.text
-      || chr(10) || chr(10) || 'Student question: ' || b.text || chr(10) || chr(10) || 'Answer:' WHEN outcome = 'blocked' THEN 'Your question was blocked by our content policy.' ELSE 'Your question is being reviewed by a moderator.' END AS message
+      SELECT conv_id, turn, answered, outcome, b.item_id, CASE WHEN answered THEN 'Use nothing but this passage to reply.' || chr(10) || '---' || chr(10) || k.text
+      || chr(10) || '---' || chr(10) || 'Q: ' || b.text || chr(10) || 'A:' WHEN outcome = 'blocked' THEN {lit(BLOCKED)} ELSE {lit(HELD)} END AS message
       FROM b LEFT JOIN benchmark k ON k.item_id = b.item_id""",
     "health": f"SELECT 'ok' AS status, {len(X.ROOTS)}::BIGINT AS lexicon_forms, false AS classifier_loaded",
 }

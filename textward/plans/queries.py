@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions.text import unit
 from ..operators import evaluation, features, gate, labels, lexicon, match, mining, retrieval
 from ..sources import fixtures, sinks
 from ..sources.tables import corpus, requests, table
@@ -87,6 +88,20 @@ def lexicon_leet_roundtrip(words, variations, white):
 
 @of_store
 def lexicon_violations(words, variations, white):
+    """The constraints asked of a store that breaks each of them: severities, sources, scopes and reasons out of
+    range, words, spellings, keys and phrases that come twice, orphans, and keys that are none."""
+    s = F.col("Source")
+    twice = words.where("Category = 'threat'").withColumn("Id", F.col("Id") + 1000)
+    words = words.union(twice).withColumn("Severity", F.when(F.col("Category") == "obscene", 4).otherwise(F.col("Severity")))
+    variations = variations.union(variations.where("Source = 'inflect' and BadWordId = 1"))
+    variations = variations.withColumns({
+        "Source": F.when(s == "rule", "typo").otherwise(s), "BadWordId": F.when(s == "manual", F.col("BadWordId") + 5000).otherwise(F.col("BadWordId")),
+        "NormalizedVariation": F.when(s == "leet", F.col("Variation")).otherwise(F.col("NormalizedVariation")),
+    })
+    white = white.union(white.where("Phrase = 'the'"))
+    white = white.withColumns({
+        "Reason": F.when(F.col("Scope") == "exact", "").otherwise(F.col("Reason")), "Scope": F.when(F.col("Scope") == "prefix", "suffix").otherwise(F.col("Scope")),
+    })
     return lexicon.violations(words, variations, white)
 
 
@@ -141,7 +156,7 @@ def manual_without_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- matching -------------------------------------------------------------------
 def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return match.scan(docs, ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark)).drop("match_type")
+    return match.scan(docs, ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark), n_entries=fixtures.N_SMALL).drop("match_type")
 
 
 @query
@@ -173,13 +188,13 @@ def letter_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def doc_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = match.check(docs, ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark))
+    out = match.check(docs, ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark), n_entries=fixtures.N_SMALL)
     return out.select("doc_id", "is_flagged", "n_matches", "max_severity", *joined("categories", "words"))
 
 
 # --- gate -----------------------------------------------------------------------
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = match.check(requests(spark, sf_dir), ["conv_id", "turn"], fixtures.small_lexicon(spark), fixtures.whitelist(spark))
+    checked = match.check(requests(spark, sf_dir), ["conv_id", "turn"], fixtures.small_lexicon(spark), fixtures.whitelist(spark), n_entries=fixtures.N_SMALL)
     return gate.decide(checked, None)
 
 
@@ -196,7 +211,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gate_with_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = match.check(_scored(spark, sf_dir), ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark))
+    checked = match.check(_scored(spark, sf_dir), ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark), n_entries=fixtures.N_SMALL)
     return gate.decide(checked).select("doc_id", "toxicity_score", "action")
 
 
@@ -216,22 +231,51 @@ def moderation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Bias of each label's own scorer.
+BIASES = {"insult": -1.0, "threat": -2.0, "obscene": -0.5, "severe_toxicity": 1.0, "toxicity": -1.0}
+
+
+def _category_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, label, score: each label's own score."""
+    docs = corpus(spark, sf_dir)
+    weights = mining.candidates(docs).select(F.col("Candidate").alias("key"), F.col("LogOdds").alias("weight"))
+    return evaluation.label_scores(docs, ["doc_id"], weights, BIASES)
+
+
 @query
 def category_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*[F.lit(x) for x in ("insult", "threat", "obscene", "toxicity")])
-    long = _scored(spark, sf_dir).select("doc_id", F.explode(names).alias("label"), F.col("toxicity_score").alias("score"))
-    return gate.flag_categories(long, ["doc_id"])
+    return gate.flag_categories(_category_scores(spark, sf_dir), ["doc_id"])
 
 
 @query
 def invalid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents sent as requests with their source as surface."""
-    return gate.split_requests(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("surface")))[1].select("doc_id", "why")
+    """Documents sent as requests: every seventh without its text, every fourth with its source as surface (others
+    private, public or none), every fifth with the text's beginning as context."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    surface = F.when(i % 4 == 0, "private").when(i % 4 == 1, "public").when(i % 4 == 3, F.col("source"))
+    sent = d.select("doc_id", F.when(i % 7 != 0, F.col("text")).alias("text"), surface.alias("surface"), F.when(i % 5 == 0, F.substring("text", 1, 300)).alias("context"))
+    return gate.split_requests(sent)[1].select("doc_id", "why")
 
 
 @query
 def oversized_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.oversized_batches(table(spark, sf_dir, "documents"), "source")
+    """Documents sent in batches of a language and an odd or even number."""
+    return gate.oversized_batches(table(spark, sf_dir, "documents").withColumn("batch", F.concat_ws("-", "lang", F.col("doc_id") % 2)), "batch")
+
+
+@query
+def service_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the service answers to labelled documents sent in public, with the categories that it reports."""
+    scored = _scored(spark, sf_dir)
+    flagged = gate.category_maps(gate.flag_categories(_category_scores(spark, sf_dir), ["doc_id"]), ["doc_id"])
+    checked = match.check(scored, ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark), n_entries=fixtures.N_SMALL)
+    answered = gate.apply_policy(gate.decide(checked), F.lit("public")).join(flagged, "doc_id", "left")
+    out = gate.response(answered, "doc_id")
+    told = F.transform(F.map_entries("flagged_categories"), lambda e: F.concat_ws("=", e["key"], F.format_number(e["value"], 3)))
+    return out.select(
+        "doc_id", "action", "proceed", "outcome", "toxicity_score", "lexicon_severity", F.size("lexicon_matches").alias("n_matches"),
+        F.array_join(told, ",").alias("flagged"), *joined("advisory_categories"),
+    )
 
 
 @query
@@ -245,14 +289,24 @@ def gated_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- labels ---------------------------------------------------------------------
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as three annotators might have had them: two near copies of each, with 30 % of their
+    labels turned."""
+    docs, k = corpus(spark, sf_dir), F.col("k")
+    copies = docs.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    turned = lambda c: F.when(unit(F.col("doc_id"), k, F.lit(c)) < 0.3, 1 - F.col(c)).otherwise(F.col(c)).alias(c)
+    copies = copies.select((F.col("doc_id") + k * 10_000_000_000).alias("doc_id"), F.concat("text", F.lit(" !")).alias("text"), turned("toxic"), turned("quality"))
+    return docs.select("doc_id", "text", "toxic", "quality").union(copies)
+
+
 @query
 def near_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.vote_groups(corpus(spark, sf_dir), ["toxic", "quality"])
+    return labels.vote_groups(_annotated(spark, sf_dir), ["toxic", "quality"])
 
 
 @query
 def label_vote_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.vote(corpus(spark, sf_dir), ["toxic", "quality"]).drop("text")
+    return labels.vote(_annotated(spark, sf_dir), ["toxic", "quality"]).drop("text")
 
 
 @query
@@ -266,7 +320,7 @@ def split_positive_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.check(labels.split(corpus(spark, sf_dir)).drop("near_key"), ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark))
+    return match.check(labels.split(corpus(spark, sf_dir)).drop("near_key"), ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark), n_entries=fixtures.N_SMALL)
 
 
 @query
@@ -287,7 +341,7 @@ def train_relabeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- evaluation -----------------------------------------------------------------
 @query
 def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = match.check(corpus(spark, sf_dir), ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark))
+    checked = match.check(corpus(spark, sf_dir), ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark), n_entries=fixtures.N_SMALL)
     return evaluation.confusion(checked, F.col("is_flagged"), F.col("toxic") == 1)
 
 
@@ -298,7 +352,7 @@ def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def signal_or_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = match.check(_scored(spark, sf_dir), ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark))
+    checked = match.check(_scored(spark, sf_dir), ["doc_id"], fixtures.small_lexicon(spark), fixtures.whitelist(spark), n_entries=fixtures.N_SMALL)
     return evaluation.confusion(checked, F.col("is_flagged") | (F.col("toxicity_score") >= 0.5), F.col("toxic") == 1)
 
 
@@ -317,9 +371,9 @@ def threshold_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def obfuscation_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, lex, white = corpus(spark, sf_dir), fixtures.small_lexicon(spark), fixtures.whitelist(spark)
-    before = match.check(docs, ["doc_id"], lex, white).select("doc_id", "toxic", F.col("is_flagged").alias("hit"))
+    before = match.check(docs, ["doc_id"], lex, white, fixtures.N_SMALL).select("doc_id", "toxic", F.col("is_flagged").alias("hit"))
     changed = docs.select("doc_id", evaluation.obfuscate(F.col("text"), F.col("doc_id")).alias("text"))
-    after = match.check(changed, ["doc_id"], lex, white).select("doc_id", F.col("is_flagged").alias("hit_after"))
+    after = match.check(changed, ["doc_id"], lex, white, fixtures.N_SMALL).select("doc_id", F.col("is_flagged").alias("hit_after"))
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
     caught = (F.col("toxic") == 1) & F.col("hit")
     return before.join(after, "doc_id").agg(n(caught).alias("caught"), n(caught & F.col("hit_after")).alias("kept"), n(F.col("hit_after")).alias("flagged_after"))
@@ -335,6 +389,13 @@ def augmented_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.rare_rows(corpus(spark, sf_dir), "doc_id", "toxic").select("draw", "doc_id", "text")
 
 
+@query
+def augmented_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents and the copies of every rare label, by their digests."""
+    out = evaluation.augmented(corpus(spark, sf_dir).select("doc_id", "text", "toxic", "quality"), "doc_id", ["toxic", "quality"])
+    return out.select("label", "draw", "doc_id", "toxic", "quality", F.md5("text").alias("text_md5"))
+
+
 # --- features, models, retrieval -------------------------------------------------
 @query
 def char_ngrams_tf(spark: SparkSession, sf_dir: str) -> DataFrame:

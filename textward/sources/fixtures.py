@@ -23,6 +23,10 @@ WHITELIST = [
 ]
 
 
+#: Entries of small_lexicon.
+N_SMALL = len(ROOTS)
+
+
 def roots(spark: SparkSession) -> DataFrame:
     """Id (input position from 1), Word, Category, Severity."""
     return literal(spark, ["Id", "Word", "Category", "Severity"], [(i, *r) for i, r in enumerate(ROOTS, 1)])
