@@ -33,7 +33,7 @@ VOCABULARY, END_ID, LENGTH, GROUP_PIECES = "word_bpe_49k.json", 2, 4096, 8192
 #: Sequences that a group fills at least (there is one group if there are fewer).
 GROUP_SEQUENCES = 64
 #: Bytes that a worker may spend on remembered words and their ids (besides those of the text in hand).
-REMEMBERED = 96 << 20
+REMEMBERED = 384 << 20
 #: What a remembered word costs besides its characters and ids.
 _EACH = 200
 #: str.split cuts at these, the tokenizer does not.
