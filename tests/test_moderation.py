@@ -330,3 +330,39 @@ def test_review_and_relabel(spark, lex, white):
 def test_health(spark, lex):
     r = gate.health(lex, False).first()
     assert (r["status"], r["lexicon_forms"], r["classifier_loaded"]) == ("ok", 3, False)
+
+
+def test_word_grams_keep_nulls_and_short_texts(spark):
+    texts = [(1, "Bir iki üç"), (2, "bir"), (3, ""), (4, None)]
+    got = spark.createDataFrame(texts, "id int, text string").select("id", features.word_grams(F.col("text")).alias("g")).collect()
+    assert {r["id"]: r["g"] for r in got} == {1: ["bir", "iki", "üç", "bir iki", "iki üç"], 2: ["bir"], 3: [], 4: None}
+
+
+def test_union_against_the_long_form(spark):
+    texts = [(1, "ab ab cd"), (2, "ab cd ef"), (3, "cd ef"), (4, None), (5, "")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    block = features.words()
+    fitted = features.fit_block(df, block)
+    long = features.tfidf(df, ["id"], features.word_grams(F.col("text")), cap=block.cap)
+    want = {}
+    for r in long.collect():
+        want.setdefault(r["id"], {})[r["term"]] = r["weight"]
+    vocabulary = fitted[1].vocabulary
+    for r in features.union(fitted)(df).collect():
+        got = {vocabulary[i]: w for i, w in zip(r["features"].indices, r["features"].values)}
+        assert got == pytest.approx(want.get(r["id"], {}))
+    both = features.union(features.fit_block(df, features.characters(2, 3, 5)), fitted)(df).first()["features"]
+    assert both.size == 5 + len(vocabulary)
+    none = features.fit_block(df.where("false"), block)
+    assert none is None and features.fit_block(df.where("id > 3"), block) is None
+    assert features.union(none)(df).first()["features"].size == 1
+
+
+def test_one_vs_rest_scores_every_label(spark):
+    rows = [(i, ("pis söz " if i % 3 == 0 else "yaxşı söz ") + f"w{i % 2}", int(i % 3 == 0), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, toxic int, odd int")
+    fit = features.union(features.fit_block(df, features.characters(2, 3, 500)), features.fit_block(df, features.words()))(df).cache()
+    for classifier in (features.by_logistic(), features.by_support_vectors()):
+        scored = features.one_vs_rest(fit, fit, ["toxic", "odd"], classifier, "doc_id")
+        per = evaluation.confusion(scored, F.col("score") >= 0.5, F.col("truth") == 1, "label").collect()
+        assert {r["label"]: r["f1"] for r in per} == {"toxic": 1.0, "odd": 1.0}

@@ -298,6 +298,12 @@ SQL: dict[str, str] = {
     "char_ngrams_tf": f"WITH {_grams} SELECT item_id, term, n FROM tf",
     "tfidf_weights": f"""WITH {_grams}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), w AS (SELECT item_id, term, (1 + ln(n)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM benchmark)) / (1.0::DOUBLE + df)) + 1) AS r FROM tf JOIN df USING (term))
       SELECT item_id, term, round(r / sqrt(sum(r * r) OVER (PARTITION BY item_id)), 9) AS weight FROM w""",
+    "word_tfidf_weights": f"""WITH {CORPUS}, ws AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM corpus),
+      tm AS (SELECT doc_id, unnest(w) AS term FROM ws UNION ALL SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM ws),
+      tf AS (SELECT doc_id, term, count(*) AS n FROM tm GROUP BY ALL),
+      df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY sum(n) DESC, term LIMIT 60000),
+      w AS (SELECT doc_id, term, (1 + ln(n)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM corpus)) / (1.0::DOUBLE + df)) + 1) AS r FROM tf JOIN df USING (term))
+      SELECT doc_id, term, round(r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)), 9) AS weight FROM w""",
     "retrieval_topk": f"""WITH {_bench_q} SELECT c.conv_id, c.turn, coalesce(rank, 1)::INTEGER AS rank, coalesce(item_id, (SELECT min(item_id) FROM benchmark)) AS item_id, coalesce(score, 0) AS score
       FROM conversations c LEFT JOIN (SELECT * FROM rk WHERE rank <= 3) r ON r.conv_id = c.conv_id AND r.turn = c.turn WHERE c.role = 'user'""",
     "gated_qa": f"""WITH {_gate}, {_bench_q}, a AS (SELECT po.conv_id, po.turn, outcome, outcome NOT IN ('blocked', 'held_for_review') AS answered, text FROM po WHERE surface = 'private'),

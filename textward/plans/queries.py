@@ -408,17 +408,32 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumn("weight", F.round("weight", 9))
 
 
+def _split_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(train, the rest) of the labelled documents."""
+    rows = labels.split(corpus(spark, sf_dir)).select("doc_id", "text", "toxic", "quality", "split")
+    return rows.where("split = 'train'"), rows.where("split <> 'train'")
+
+
+def _metrics(train: DataFrame, rest: DataFrame, blocks: list, classifier: Callable) -> DataFrame:
+    features_of = features.union(*[features.fit_block(train, b) for b in blocks])
+    fit, rows = features_of(train).persist(), features_of(rest)
+    scored = features.one_vs_rest(fit, rows, ["toxic", "quality"], classifier, "split")
+    out = evaluation.confusion(scored, F.col("score") >= C.DEFAULT_THRESHOLD, F.col("truth") == 1, "label", "split")
+    fit.unpersist()
+    return out
+
+
 @query
-def classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balanced logistic regression on hashed word grams, trained on train, scored on val and test."""
-    rows = features.hashed(labels.split(corpus(spark, sf_dir)).drop("near_key"), features.word_grams(F.col("text"))).persist()
-    model = features.logistic(rows.where("split = 'train'"), "toxic")
-    scored = features.scores(model, rows.where("split <> 'train'"))
-    return evaluation.confusion(scored, F.col("score") >= C.DEFAULT_THRESHOLD, F.col("toxic") == 1, "split")
+def word_tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF of words and pairs of words over the labelled documents."""
+    w = features.tfidf(corpus(spark, sf_dir).select("doc_id", "text"), ["doc_id"], features.word_grams(F.col("text")), cap=60_000)
+    return w.withColumn("weight", F.round("weight", 9))
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    return features.hashed(rows, features.word_grams(F.col("text")), 1 << 12)
+@query
+def classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced logistic regression for each label on TF-IDF of character grams, trained on train, scored on val and test."""
+    return _metrics(*_split_corpus(spark, sf_dir), [features.characters()], features.by_logistic())
 
 
 def _table(spark: SparkSession, names: tuple[str, str], rows: list[tuple]) -> DataFrame:
@@ -429,25 +444,15 @@ def _table(spark: SparkSession, names: tuple[str, str], rows: list[tuple]) -> Da
 
 @query
 def svm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linear SVM with calibrated scores, trained on train, scored on val and test."""
-    from pyspark.ml.functions import vector_to_array
-
-    rows = _hashed(labels.split(corpus(spark, sf_dir)).drop("near_key")).persist()
-    model, a, b = features.support_vectors(rows.where("split = 'train'"), "toxic", 20)
-    margin = vector_to_array(F.col("rawPrediction"))[1]
-    scored = model.transform(rows.where("split <> 'train'")).withColumn("score", 1 / (1 + F.exp(-(margin * a + b))))
-    return evaluation.confusion(scored, F.col("score") >= C.DEFAULT_THRESHOLD, F.col("toxic") == 1, "split")
+    """Linear SVM with calibrated scores on the union of characters and words, trained on train, scored on val and test."""
+    return _metrics(*_split_corpus(spark, sf_dir), [features.characters(2, 5, 100_000), features.words()], features.by_support_vectors())
 
 
 @query
 def model_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature configurations by macro F1 on val at their best thresholds, best first."""
-    rows = labels.split(corpus(spark, sf_dir)).drop("near_key").persist()
-    configs = {
-        "words": _hashed,
-        "characters": lambda df: features.hashed(df, features.char_grams(F.col("text"), 2, 4), 1 << 12),
-    }
-    found = features.experiments(configs, rows.where("split = 'train'"), rows.where("split = 'val'"), ["toxic"], iterations=25)
+    """Six configurations by macro F1 over both labels on val at their best thresholds, best first."""
+    train, rest = _split_corpus(spark, sf_dir)
+    found = features.experiments(features.configurations(train), train, rest.where("split = 'val'"), ["toxic", "quality"])
     return _table(spark, ("config", "macro_f1"), found)
 
 
@@ -456,7 +461,9 @@ def repair_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro F1 on val after training on the original and on the repaired train labels."""
     checked = _checked(spark, sf_dir).persist()
     train, val = checked.where("split = 'train'"), checked.where("split = 'val'")
-    found = features.compare_repair(train, labels.relabel(checked, categories={"insult": "quality"}), val, ["toxic"], _hashed, iterations=25)
+    repaired = labels.relabel(checked, categories={"insult": "quality"})
+    found = features.compare_repair(train, repaired, val, ["toxic", "quality"], features.union(features.fit_block(train, features.characters())))
+    checked.unpersist()
     return _table(spark, ("labels", "macro_f1"), found)
 
 
