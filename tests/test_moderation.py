@@ -362,7 +362,7 @@ def test_one_vs_rest_scores_every_label(spark):
     rows = [(i, ("pis söz " if i % 3 == 0 else "yaxşı söz ") + f"w{i % 2}", int(i % 3 == 0), i % 2) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id int, text string, toxic int, odd int")
     fit = features.union(features.fit_block(df, features.characters(2, 3, 500)), features.fit_block(df, features.words()))(df).cache()
-    for classifier in (features.by_logistic(), features.by_support_vectors()):
+    for classifier in (features.by_logistic(), features.by_support_vectors(iterations=10)):
         scored = features.one_vs_rest(fit, fit, ["toxic", "odd"], classifier, "doc_id")
         per = evaluation.confusion(scored, F.col("score") >= 0.5, F.col("truth") == 1, "label").collect()
         assert {r["label"]: r["f1"] for r in per} == {"toxic": 1.0, "odd": 1.0}

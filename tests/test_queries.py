@@ -26,7 +26,7 @@ def duck():
 @pytest.mark.parametrize(
     "name",
     ["token_df_by_class", "match_tokens", "letter_runs", "doc_check", "gate_decisions", "policy_outcomes", "audit_log", "invalid_requests",
-     "label_vote_repair", "stratified_split", "threshold_sweep", "tfidf_weights", "retrieval_topk", "gated_qa", "lexicon_variations", "lexicon_violations",
+     "label_vote_repair", "stratified_split", "threshold_sweep", "tfidf_weights", "word_tfidf_weights", "retrieval_topk", "gated_qa", "lexicon_variations", "lexicon_violations",
      "near_dup_groups", "oversized_batches", "service_responses", "category_flags", "augmented_text", "augmented_corpus", "seed_sql"],
 )
 def test_against_sql(spark, duck, name):
