@@ -437,6 +437,47 @@ def test_simhash_links(spark, chunk, monkeypatch):
     assert smallest(len(prints), [(at[r["a"]], at[r["b"]]) for r in found]) == want
 
 
+def _parts(*thresholds):
+    ends = [64 * i // len(thresholds) for i in range(len(thresholds) + 1)]
+    return [(list(range(a, b)), t) for a, b, t in zip(ends, ends[1:], thresholds)]
+
+
+@pytest.mark.parametrize("thresholds", [(0,) * 9, (1, 1, 0, 1, 1), (2, -1, 3, 1), (2, 2, 2)])
+@pytest.mark.parametrize("chunk", [40, 1 << 16])
+def test_rows_of_the_search_do_not_depend_on_the_plan(spark, thresholds, chunk, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(2**63), 2**63 - 1, (500, 3))
+    flip = lambda x, most: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (len(x), most), dtype=np.uint64), axis=1).view(np.int64)
+    copies = [np.stack([flip(b[:, 0], most), flip(b[:, 1], 12), flip(b[:, 2], 12)], axis=1) for b, most in ((base[:300], 8), (base[200:400], 9), (np.repeat(base[:1], 200, 0), 4))]
+    rows = np.concatenate([base, *copies])
+    rows = rows[np.unique(rows[:, 0], return_index=True)[1]]
+    first = np.bitwise_count((rows[:, None, 0] ^ rows[None, :, 0]).view(np.uint64)) <= 8
+    all_ = sum(np.bitwise_count((rows[:, None, i] ^ rows[None, :, i]).view(np.uint64)).astype(int) for i in range(3)) <= 32
+    fps = spark.createDataFrame([tuple(map(int, r)) for r in rows], "fp long, more1 long, more2 long")
+    dealt, own = [], type(fps).repartition
+    monkeypatch.setattr(simhash_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(simhash_dedup, "plan", lambda *_: [p for p in _parts(*thresholds) if p[1] >= 0])
+    monkeypatch.setattr(type(fps), "repartition", lambda self, *by: (dealt.append(self.count()), own(self, *by))[1])
+    at = {int(x): i for i, x in enumerate(rows[:, 0])}
+    for most, near in ((None, first), (32, first & all_)):
+        found = simhash_dedup.links(fps, 8, most).collect()
+        assert 300 < np.triu(near, 1).sum()
+        assert smallest(len(rows), [(at[r["a"]], at[r["b"]]) for r in found]) == smallest(len(rows), list(zip(*np.nonzero(np.triu(near, 1)))))
+    assert len(found) < 9 * len(rows)
+    if chunk > len(rows):
+        assert dealt == [9 * len(rows)] * 2
+
+
+def test_forest():
+    from textward.llm.linking import forest
+
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 400, (2, 300))
+    x, y = forest(a, b)
+    assert smallest(400, list(zip(x, y))) == smallest(400, list(zip(a, b))) and len(x) < len(np.unique([a, b])) and (x > y).all()
+    assert [len(x) for x in forest(a[:0], b[:0])] == [0, 0]
+
+
 def test_thresholds_satisfy_the_pigeonhole_principle():
     rng = np.random.default_rng(0)
     bits = rng.integers(0, 2, (500, 64)).astype(float)

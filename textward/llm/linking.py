@@ -1,4 +1,4 @@
-"""Spanning links of blocks of pairs, in numpy: what a task found, without all of its pairs."""
+"""Spanning links of blocks of pairs and of lists of links, in numpy: what a task found, without all of its pairs."""
 
 from __future__ import annotations
 
@@ -27,3 +27,17 @@ def spanning(rows: np.ndarray, cols: np.ndarray, linked: np.ndarray) -> tuple[np
     a, b = np.concatenate([rows, cols]), np.concatenate([x, y])
     own = a != b
     return a[own], b[own]
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same nodes as the links (a, b): each node to the smallest id that it reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, least = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (apart := least[x] != least[y]).any():
+        x, y = x[apart], y[apart]
+        u, v = least[x], least[y]
+        np.minimum.at(least, np.maximum(u, v), np.minimum(u, v))
+        while (least[least] != least).any():
+            least = least[least]
+    own = least != np.arange(len(nodes))
+    return nodes[own], nodes[least[own]]

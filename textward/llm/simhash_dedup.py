@@ -7,10 +7,13 @@ sum(t_i + 1) = max_bits + 1, two fingerprints within max_bits bits are within
 t_i bits in at least one partition; a dynamic programme picks m and unequal
 thresholds for the least estimated probes and candidates, the latter counted
 among sampled fingerprints, so that what the bits of a partition have in common
-counts too. Fingerprints meet at the signatures they probe, are verified by
-their whole Hamming distance, and a task hands on a spanning forest of the
-links, never their pairs. A signature shared by very many fingerprints is cut
-into chunks, and every pair of chunks is a task of its own.
+counts too. Within t_i bits in t_i + 1 pieces of a partition means equal in one
+piece, so a fingerprint is sent to its region of each piece, max_bits + 1 rows
+whatever the plan; the signatures of the partition that are within t_i bits are
+looked up in the region's task, each by the first piece that is equal. What
+meets is verified by the whole Hamming distance, and a task hands on a spanning
+forest of the links, never their pairs. A region of very many fingerprints is
+cut into chunks, and every pair of chunks is a task of its own.
 
 Edited copies often lie further apart than max_bits of 64 bits, and a larger
 max_bits alone would link strangers in a large corpus. one_of_each therefore
@@ -29,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +42,20 @@ from pyspark.sql import functions as F
 
 from .common import carried, drop_staged, need, stage
 from .components import components
-from .linking import spanning
+from .linking import forest, spanning
 
 SEED, SHINGLE, BITS, MAX_BITS = 42, 4, 64, 4
 #: one_of_each: bits of 64 that candidates may differ in, and bits of 192 that near-duplicates may.
 NEAR_BITS, NEAR_TOTAL = 8, 32
 #: Fingerprints that candidates are counted among, for the plan.
 SAMPLE = 2048
-#: Costs of one probe row through a shuffle and of one verified candidate, in microseconds.
-PROBE_COST, CANDIDATE_COST = 1.5, 0.01
-#: Rows of one signature that a task compares at once; more are cut into chunks.
-CHUNK = 2048
+#: Costs of one row through a shuffle, of one signature looked up and of one verified candidate, in microseconds.
+ROW_COST, LOOKUP_COST, CANDIDATE_COST = 1.5, 0.04, 0.01
+#: Rows of one region that a task holds at once; more are cut into chunks.
+CHUNK = 1 << 16
+#: Rows that a task gathers before it looks signatures up, candidates that it verifies at once, candidates of two
+#: groups of equal signatures from which on they are compared as a matrix, and the longest side of one.
+GATHERED, SLAB, DENSE, BLOCK = 1 << 16, 1 << 19, 1 << 14, 2048
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SLICE = 1 << 16
 
@@ -158,7 +165,7 @@ def _near(p: np.ndarray, group: list[int], most: int, sample: np.ndarray) -> lis
     alone = np.cumsum(dist)
     if len(sample) < 2:
         return list(alone)
-    own = sample & np.uint64(sum(1 << b for b in group))
+    own = sample & np.uint64(_mask(group))
     found = np.zeros(BITS + 1, np.int64)
     for k in range(0, len(own), 256):
         found += np.bincount(np.bitwise_count(own[k : k + 256, None] ^ own[None, :]).ravel(), minlength=BITS + 1)
@@ -166,6 +173,24 @@ def _near(p: np.ndarray, group: list[int], most: int, sample: np.ndarray) -> lis
     return list(np.maximum(alone, np.cumsum(found[: most + 1]) / (len(own) * (len(own) - 1))))
 
 
+def _meet(p: np.ndarray, bits: list[int], sample: np.ndarray) -> float:
+    """The estimated chance that two fingerprints are equal in these bits."""
+    alone = float(np.prod([1 - 2 * p[b] * (1 - p[b]) for b in bits]))
+    if len(sample) < 2:
+        return alone
+    counts = np.unique(sample & np.uint64(_mask(bits)), return_counts=True)[1]
+    return max(alone, float((counts * (counts - 1)).sum()) / (len(sample) * (len(sample) - 1)))
+
+
+def _mask(bits: list[int]) -> int:
+    return sum(1 << b for b in bits)
+
+
+def _split(bits: list[int], t: int) -> list[list[int]]:
+    """The t + 1 pieces of a partition with threshold t."""
+    return [bits[j :: t + 1] for j in range(t + 1)]
+
+
 def plan(n: int, products: np.ndarray, max_bits: int = MAX_BITS, sample: np.ndarray | None = None) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed, by dynamic programming; sample holds fingerprints."""
     p = np.diag(products) / max(n, 1)
@@ -176,11 +201,15 @@ def plan(n: int, products: np.ndarray, max_bits: int = MAX_BITS, sample: np.ndar
         # state: how much of max_bits + 1 is allotted -> (cost, thresholds)
         state: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for g in groups:
-            near, after = _near(p, g, min(3, max_bits), sample), {}
+            most = min(3, max_bits)
+            near, costs, after = _near(p, g, most, sample), {-1: 0.0}, {}
+            for t in range(most + 1):
+                lookups = sum(comb(len(g), j) for j in range(t + 1))
+                rows = sum(1 + n * _meet(p, piece, sample) / CHUNK for piece in _split(g, t))
+                costs[t] = n * rows * ROW_COST + n * lookups / 2 * LOOKUP_COST + n * n / 2 * near[t] * CANDIDATE_COST
             for used, (cost, chosen) in state.items():
                 for t in range(-1, min(3, max_bits - used) + 1):
-                    probes = sum(comb(len(g), j) for j in range(t + 1))
-                    c = cost + (n * (1 + probes) / 2 * PROBE_COST + n * n / 2 * near[t] * CANDIDATE_COST if t >= 0 else 0)
+                    c = cost + costs[t]
                     if used + t + 1 not in after or c < after[used + t + 1][0]:
                         after[used + t + 1] = (c, [*chosen, t])
             state = after
@@ -189,24 +218,33 @@ def plan(n: int, products: np.ndarray, max_bits: int = MAX_BITS, sample: np.ndar
     return best[1]
 
 
+class Piece(NamedTuple):
+    """Fingerprints that are equal in `mask` meet; those whose signatures in `whole` differ by one of `flips` are candidates."""
+
+    mask: int
+    whole: int
+    flips: np.ndarray
+
+
+def pieces(parts: list[tuple[list[int], int]]) -> list[Piece]:
+    """The pieces of all partitions. Each flip of a partition belongs to the first piece that it leaves equal."""
+    out = []
+    for bits, t in parts:
+        flips = [_mask(s) for j in range(t + 1) for s in combinations(bits, j)]
+        for own in map(_mask, _split(bits, t)):
+            out.append(Piece(own, _mask(bits), np.array([f for f in flips if not f & own], np.uint64)))
+            flips = [f for f in flips if f & own]
+    return out
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _probes(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, sig, home, fp, more1, more2): the signatures each fingerprint visits. At its own it is at home;
-    of two that are near, the one with the larger signature visits the smaller."""
-    each = []
-    for i, (bits, t) in enumerate(parts):
-        own = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        flips = [_signed(sum(1 << b for b in s)) for j in range(1, t + 1) for s in combinations(bits, j)]
-        home = F.array(F.struct(F.lit(i).alias("part"), own.alias("sig"), F.lit(True).alias("home")))
-        if flips:
-            masks = F.split(F.lit(",".join(map(str, flips))), ",").cast("array<bigint>")
-            visits = F.filter(F.transform(masks, lambda x: own.bitwiseXOR(x)), lambda s: s < own)
-            home = F.concat(home, F.transform(visits, lambda s: F.struct(F.lit(i).alias("part"), s.alias("sig"), F.lit(False).alias("home"))))
-        each.append(home)
-    return fps.select("fp", "more1", "more2", F.explode(F.concat(*each)).alias("k")).select("k.*", "fp", "more1", "more2")
+def _regions(fps: DataFrame, at: list[Piece]) -> DataFrame:
+    """(part, sig, fp, more1, more2): the region of each fingerprint in each piece."""
+    each = [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(x.mask))).alias("sig")) for i, x in enumerate(at)]
+    return fps.select("fp", "more1", "more2", F.explode(F.array(*each)).alias("k")).select("k.*", "fp", "more1", "more2")
 
 
 def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -222,62 +260,127 @@ def _linked(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], max_bits: int,
     return near
 
 
-def _short_runs(run, words, home, longest, max_bits, most):
-    """Links within short runs, by comparing each row with those 1, 2, ... places after it."""
-    fp, a, b = words[0], [], []
-    for s in range(1, longest):
-        near = (run[s:] == run[:-s]) & (home[s:] | home[:-s]) & _linked([w[s:] for w in words], [w[:-s] for w in words], max_bits, most)
-        if near.any():
-            a.append(fp[s:][near])
-            b.append(fp[:-s][near])
-    return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
-
-
-def _verify(batches: Iterator[pa.RecordBatch], max_bits: int, most: int | None) -> Iterator[pa.RecordBatch]:
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, size numbers long, one after another."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+class _Groups:
+    """Rows sorted by their signature, and where the groups of equal ones begin."""
+
+    def __init__(self, words: list[np.ndarray], whole: int):
+        sig = words[0].view(np.uint64) & np.uint64(whole)
+        order = np.argsort(sig)
+        sig, self.words = sig[order], [w[order] for w in words]
+        self.start = np.flatnonzero(np.concatenate([np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]]))
+        self.size = np.diff(np.append(self.start, len(sig)))
+        self.sig = sig[self.start]
+
+    def meet(self, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the given signatures are here, and the numbers of their groups."""
+        at = np.minimum(np.searchsorted(self.sig, sig), len(self.sig) - 1)
+        found = np.flatnonzero(self.sig[at] == sig)
+        return found, at[found]
+
+
+def _compared(x: _Groups, y: _Groups, flips: np.ndarray, max_bits: int, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between rows of x and y whose signatures differ by a flip; y may be x, then each pair is met once."""
+    left, right, rows = [], [], 0
+    for k, f in enumerate(flips):
+        flipped = x.sig ^ f
+        use = np.flatnonzero(flipped < x.sig) if x is y and f else np.arange(len(x.sig))
+        found, at = y.meet(flipped[use])
+        left.append(use[found])
+        right.append(at)
+        rows += x.size[left[-1]].sum()
+        if rows > SLAB or k == len(flips) - 1:
+            yield from _groups_compared(x, y, np.concatenate(left), np.concatenate(right), max_bits, most)
+            left, right, rows = [], [], 0
+
+
+def _groups_compared(x: _Groups, y: _Groups, g: np.ndarray, h: np.ndarray, max_bits: int, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between the rows of groups g of x and of groups h of y."""
+    same = x is y
+    dense = x.size[g] * y.size[h] >= DENSE
+    for u, v in zip(g[dense], h[dense]):
+        for i in range(x.start[u], x.start[u] + x.size[u], BLOCK):
+            for j in range(i if same and u == v else y.start[v], y.start[v] + y.size[v], BLOCK):
+                a = [w[i : min(i + BLOCK, x.start[u] + x.size[u])] for w in x.words]
+                b = [w[j : min(j + BLOCK, y.start[v] + y.size[v])] for w in y.words]
+                yield spanning(a[0], b[0], _linked([w[:, None] for w in a], [w[None, :] for w in b], max_bits, most))
+    g, h = g[~dense], h[~dense]
+    # Each row i is held against `count` rows from `first` on.
+    i, count, first = _ranges(x.start[g], x.size[g]), np.repeat(y.size[h], x.size[g]), np.repeat(y.start[h], x.size[g])
+    if same:
+        own = np.repeat(g == h, x.size[g])
+        count, first = np.where(own, first + count - i - 1, count), np.where(own, i + 1, first)
+    ends = np.cumsum(count)
+    k = 0
+    while k < len(i):
+        before = ends[k - 1] if k else 0
+        stop = max(k + 1, int(np.searchsorted(ends, before + SLAB, "right")))
+        j = _ranges(first[k:stop], count[k:stop])
+        near = np.flatnonzero(_differing(np.repeat(x.words[0][i[k:stop]], count[k:stop]), y.words[0][j]) <= max_bits)
+        if len(near):
+            u, v = i[k + np.searchsorted(ends[k:stop] - before, near, "right")], j[near]
+            ok = _linked([w[u] for w in x.words], [w[v] for w in y.words], max_bits, most)
+            yield x.words[0][u[ok]], y.words[0][v[ok]]
+        k = stop
+
+
+def _links_of(rows: list[np.ndarray], at: list[Piece], max_bits: int, most: int | None) -> pa.RecordBatch:
+    """Spanning links of whole runs of equal (part, sig, ca, cb)."""
+    part, sig, ca, cb, chunk, *words = rows
+    a, b, held = [], [], 0
+
+    def add(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
+        nonlocal a, b, held
+        for x, y in found:
+            a, b, held = [*a, x], [*b, y], held + len(x)
+            if held > SLAB:
+                x, y = forest(np.concatenate(a), np.concatenate(b))
+                a, b, held = [x], [y], 0
+
+    first = (ca == 0) & (cb == 0)  # one run of a region at most, so that signatures tell the regions apart
+    for i in np.unique(part[first]):
+        use = first & (part == i)
+        own = _Groups([w[use] for w in words], at[i].whole)
+        add(_compared(own, own, at[i].flips, max_bits, most))
+    more = np.flatnonzero(~first)
+    new = np.zeros(len(more), bool)
+    for x in (part, sig, ca, cb):
+        new[1:] |= x[more[1:]] != x[more[:-1]]
+    for run in np.split(more, np.flatnonzero(new)) if len(more) else []:
+        p, u, v = at[part[run[0]]], ca[run[0]], cb[run[0]]
+        sides = [_Groups([w[run[chunk[run] == c]] for w in words], p.whole) for c in sorted({u, v})]
+        if all(len(s.sig) for s in sides):
+            add(_compared(sides[0], sides[-1], p.flips, max_bits, most))
+    a, b = forest(np.concatenate(a), np.concatenate(b)) if a else (words[0][:0], words[0][:0])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch], at: list[Piece], max_bits: int, most: int | None) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (part, sig, ca, cb); a run of equal keys is compared within itself."""
-    kept: list[np.ndarray] | None = None
-
-    def links(part, sig, ca, cb, chunk, home, *words):
-        fp = words[0]
-        new = np.flatnonzero((part[1:] != part[:-1]) | (sig[1:] != sig[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])) + 1
-        starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(fp)]])
-        sizes, run = ends - starts, np.repeat(np.arange(len(starts)), ends - starts)
-        short = sizes <= 48
-        out = []
-        use = short[run]
-        if use.any():
-            out.append(_short_runs(run[use], [w[use] for w in words], home[use], int(sizes[short].max()), max_bits, most))
-        for k in np.flatnonzero(~short):
-            x = slice(starts[k], ends[k])
-            f, h, c, two = [w[x] for w in words], home[x], chunk[x], ca[starts[k]] != cb[starts[k]]
-            one = (c == ca[starts[k]]) if two else np.ones(len(c), bool)
-            other = ~one if two else one
-            left, right = np.flatnonzero(one), np.flatnonzero(other)
-            for j in range(0, len(left), CHUNK):
-                for q in range(0, len(right), CHUNK):
-                    u, v = left[j : j + CHUNK], right[q : q + CHUNK]
-                    near = _linked([w[u][:, None] for w in f], [w[v][None, :] for w in f], max_bits, most) & (h[u][:, None] | h[v][None, :])
-                    out.append(spanning(f[0][u], f[0][v], near))
-        a, b = (np.concatenate([o[i] for o in out]) if out else fp[:0] for i in (0, 1))
-        diff = a != b
-        pairs = np.unique(np.stack([np.maximum(a[diff], b[diff]), np.minimum(a[diff], b[diff])]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
+    kept: list[list[np.ndarray]] = []
+    held, enough = 0, GATHERED
     for b in batches:
-        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
-        if kept is not None:
-            now = [np.concatenate([k, x]) for k, x in zip(kept, now)]
-        if not len(now[0]):
+        if not b.num_rows:
+            continue
+        kept.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(8)])
+        held += b.num_rows
+        if held < enough:
             continue
-        same = np.ones(len(now[0]), bool)
+        now = [np.concatenate(x) for x in zip(*kept)]
+        same = np.ones(held, bool)
         for x in now[:4]:
             same &= x == x[-1]
-        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-        kept = [x[cut:] for x in now]
+        cut = held - int(np.argmin(same[::-1])) if not same.all() else 0
         if cut:
-            yield links(*[x[:cut] for x in now])
-    if kept is not None and len(kept[0]):
-        yield links(*kept)
+            yield _links_of([x[:cut] for x in now], at, max_bits, most)
+        kept, held = [[x[cut:] for x in now]], held - cut
+        enough = max(GATHERED, 2 * held)
+    if held:
+        yield _links_of([np.concatenate(x) for x in zip(*kept)], at, max_bits, most)
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, most: int | None = None) -> DataFrame:
@@ -287,18 +390,20 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, most: int | None = None) ->
     share = F.lit(int(min(1.0, SAMPLE / max(n, 1)) * (1 << 40)))
     some = fps.where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(1 << 40)) <= share).select("fp").limit(2 * SAMPLE).toArrow()
     sample = some.column(0).to_numpy().view(np.uint64)
-    rows = _probes(fps, plan(n, products, max_bits, sample))
+    at = pieces(plan(n, products, max_bits, sample))
+    rows = _regions(fps, at)
+    # At most (max_bits + 1) * n / CHUNK regions are hot.
     hot = rows.groupBy("part", "sig").count().where(F.col("count") > CHUNK)
-    rows = rows.join(hot, ["part", "sig"], "left")
+    rows = rows.join(F.broadcast(hot), ["part", "sig"], "left")
     n_chunks = F.coalesce(F.ceil(F.col("count") / CHUNK), F.lit(1)).cast("int")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("fp"), n_chunks).cast("int"))
     others = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda o: F.struct(F.least("chunk", o).alias("ca"), F.greatest("chunk", o).alias("cb")))
-    names = ["chunk", "home", "fp", "more1", "more2"]
+    names = ["chunk", "fp", "more1", "more2"]
     rows = rows.select("part", "sig", F.explode(others).alias("c"), *names).select("part", "sig", "c.ca", "c.cb", *names)
     return (
         rows.repartition("part", "sig", "ca", "cb")
         .sortWithinPartitions("part", "sig", "ca", "cb")
-        .mapInArrow(lambda it: _verify(it, max_bits, most), "a long, b long")
+        .mapInArrow(lambda it: _verify(it, at, max_bits, most), "a long, b long")
     )
 
 
