@@ -366,3 +366,10 @@ def test_one_vs_rest_scores_every_label(spark):
         scored = features.one_vs_rest(fit, fit, ["toxic", "odd"], classifier, "doc_id")
         per = evaluation.confusion(scored, F.col("score") >= 0.5, F.col("truth") == 1, "label").collect()
         assert {r["label"]: r["f1"] for r in per} == {"toxic": 1.0, "odd": 1.0}
+
+
+def test_fits_tell_the_driver_of_few_partitions(spark):
+    rows = spark.range(0, 40_000, 1, 40).withColumn("toxic", (F.col("id") % 3 == 0).cast("int"))
+    fit, n = features.balanced(rows, "toxic")
+    assert n == 40_000 and fit.count() == n
+    assert fit.rdd.getNumPartitions() <= features.PARTITIONS_A_CORE * spark.sparkContext.defaultParallelism
