@@ -373,3 +373,42 @@ def test_fits_tell_the_driver_of_few_partitions(spark):
     fit, n = features.balanced(rows, "toxic")
     assert n == 40_000 and fit.count() == n
     assert fit.rdd.getNumPartitions() <= features.PARTITIONS_A_CORE * spark.sparkContext.defaultParallelism
+
+
+def test_tfidf_shuffles_no_row_of_terms(spark):
+    df = spark.createDataFrame([(i, f"ab cd w{i % 5} w{i % 7}") for i in range(50)], "id int, text string")
+    w = features.tfidf(df, ["id"], features.word_grams(F.col("text")))
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(id#" in plan
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(id#" in x and ", term#" in x]
+
+
+def test_whitelisted_is_one_pass(spark, white):
+    df = spark.createDataFrame([("kitabxanada",), ("sasa",), ("kitabxana",), ("sasam",), ("",), ("kitab",)] * 2, "key string")
+    out = match.whitelisted(df, white)
+    assert sorted(r[0] for r in out.collect()) == ["kitabxana", "kitabxanada", "sasa"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    limit, match.CONSTANT_PREFIXES = match.CONSTANT_PREFIXES, 1
+    try:
+        assert sorted(r[0] for r in match.whitelisted(df, white).collect()) == ["kitabxana", "kitabxanada", "sasa"]
+    finally:
+        match.CONSTANT_PREFIXES = limit
+
+
+def test_known_entries_leave_out_no_match(spark, lex, white):
+    texts = [(1, "kitab kitablar kitablardan k i t a b sasdan kitabdirdan"), (2, "x y z"), (3, None), (4, "KİTABLARİN kitabxanada sakit sasa qələmsiz")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    with_known = match.scan(df, ["id"], lex, white, n_entries=3)
+    assert sorted(map(repr, with_known.collect())) == sorted(map(repr, match.scan(df, ["id"], lex, white).collect()))
+    few = match.candidate_rows(df, ["id"], ["kitab", "sas", "qelem"])
+    assert few.count() < match.candidate_rows(df, ["id"]).count()
+
+
+def test_check_scans_its_source(spark, lex, white):
+    df = spark.createDataFrame([(1, "kitab", 5), (2, "x", 6)], "id int, text string, more int")
+    joined = df.join(spark.createDataFrame([(5, "a"), (6, "b")], "more int, split string"), "more")
+    out = match.check(joined, ["id"], lex, white, 3, df.select("id", "text"))
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, match.check(joined, ["id"], lex, white, 3).collect()))
+    short = out.select("id", "is_flagged")._jdf.queryExecution().optimizedPlan().toString()
+    assert short.count("more#") < match.check(joined, ["id"], lex, white, 3).select("id", "is_flagged")._jdf.queryExecution().optimizedPlan().toString().count("more#")

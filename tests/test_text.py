@@ -82,3 +82,11 @@ def test_near_key_quote_overlap(spark):
 def test_sql_functions(spark):
     T.register(spark)
     assert spark.sql("SELECT textward_key('K1t4b'), size(textward_tokens('a, b'))").first()[:] == ("kitab", 2)
+
+
+def test_keys_of_texts_are_those_of_their_tokens(spark):
+    texts = ["", "a", "K1t4b kitab!KITAB  123 (x) şŞ ||", "кitab Straße Ⓐb 1a", "aa.bb\u00a0cc\u200bdd ee-ee \u2028x", "İıI Ωα \U0001F600q $$$ b1b", "zz ' '' zz\tz\nz"]
+    texts += ["".join(map(chr, range(a, a + 64))) + " " + "x".join(map(chr, range(a, a + 64))) for a in range(1, 0x3000, 64)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    for r in df.select(T.keys(F.col("text")).alias("a"), F.transform(T.tokens(F.col("text")), T.normalise).alias("b"), T.tokens(F.col("text")).alias("t"), F.array_remove(F.split(F.coalesce("text", F.lit("")), T.TOKEN_SPLIT), "").alias("s")).collect():
+        assert r["a"] == r["b"] and r["t"] == r["s"]

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import normalise, tokens
+from ..functions.text import keys, tokens
 
 
 def token_rows(df: DataFrame, ids: list[str]) -> DataFrame:
     """ids, pos (from 0), token, key of every token; keys may be empty."""
-    return df.select(*ids, F.posexplode(tokens(F.col("text"))).alias("pos", "token")).withColumn("key", normalise(F.col("token")))
+    both = F.arrays_zip(tokens(F.col("text")).alias("token"), keys(F.col("text")).alias("key"))
+    return df.select(*ids, F.posexplode(both).alias("pos", "_b")).select(*ids, "pos", "_b.token", "_b.key")
 
 
 def document_keys(df: DataFrame, min_length: int = 1) -> DataFrame:
     """df with `key`: each distinct key of each row's text once."""
-    keys = F.array_distinct(F.transform(tokens(F.col("text")), normalise))
-    kept = F.filter(keys, lambda k: F.length(k) >= min_length)
+    kept = F.filter(F.array_distinct(keys(F.col("text"))), lambda k: F.length(k) >= min_length)
     return df.withColumn("key", F.explode(kept)).drop("text")
 
 
