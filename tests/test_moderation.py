@@ -412,3 +412,19 @@ def test_check_scans_its_source(spark, lex, white):
     assert sorted(map(repr, out.collect())) == sorted(map(repr, match.check(joined, ["id"], lex, white, 3).collect()))
     short = out.select("id", "is_flagged")._jdf.queryExecution().optimizedPlan().toString()
     assert short.count("more#") < match.check(joined, ["id"], lex, white, 3).select("id", "is_flagged")._jdf.queryExecution().optimizedPlan().toString().count("more#")
+
+
+def test_obfuscation_makes_two_digests_a_word(spark):
+    df = spark.createDataFrame([(1, "a b")], "id int, text string")
+    plan = df.select(evaluation.obfuscate(F.col("text"), F.col("id")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 2
+
+
+def test_scores_from_sums_at_hand(spark):
+    df = spark.createDataFrame([(1, "ab cd ab"), (2, "cd"), (3, "x")], "id int, text string")
+    weights = spark.createDataFrame([("ab", 2.0), ("cd", -1.0)], "key string, weight double")
+    sums = evaluation.key_sums(df, ["id"], weights)
+    own, given = evaluation.linear_scores(df, ["id"], weights, -1.0), evaluation.linear_scores(df, ["id"], None, -1.0, sums)
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, given.collect()))
+    each = evaluation.label_scores(df, ["id"], None, {"l": -1.0}, sums)
+    assert {r["id"]: r["score"] for r in each.collect()} == {r["id"]: r["toxicity_score"] for r in given.collect()}
